@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.language import op8_language
 from marlstone.llm.packing import op7_packing
+from marlstone.llm.secrets import op1_secrets
 from marlstone.llm.separators import op10_separator_scan
 from marlstone.llm.sharding import op3_sharding
 from marlstone.llm.url_filters import OP2_SQL, op2_url_filters
@@ -15,6 +16,7 @@ from marlstone.llm.url_filters import OP2_SQL, op2_url_filters
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_secrets,
         op2_url_filters,
         op3_sharding,
         op7_packing,
