@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.language import op8_language
+from marlstone.llm.near_duplicates import op4_minhash
 from marlstone.llm.packing import op7_packing
 from marlstone.llm.secrets import op1_secrets
 from marlstone.llm.separators import op10_separator_scan
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_secrets,
         op2_url_filters,
         op3_sharding,
+        op4_minhash,
         op7_packing,
         op8_language,
         op10_separator_scan,
