@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.language import op8_language
+from marlstone.llm.mixing import OP5_SQL, op5_mixing
 from marlstone.llm.near_duplicates import op4_minhash
 from marlstone.llm.packing import op7_packing
 from marlstone.llm.secrets import op1_secrets
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_url_filters,
         op3_sharding,
         op4_minhash,
+        op5_mixing,
         op7_packing,
         op8_language,
         op10_separator_scan,
@@ -29,4 +31,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filters": OP2_SQL,
+    "op5_mixing": OP5_SQL,
 }

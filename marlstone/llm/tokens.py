@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
+import numpy as np
+
 _LOADED: dict[tuple[str, bool], "WordEncoder"] = {}
 
 
@@ -19,15 +20,18 @@ class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, word by word with a bounded cache.
 
     Only for vocabularies that drop white space and never join words across it: there the ids of a
-    text are those of its words, one after the other, and most words have been seen before.
+    text are those of its words, one after the other, and most words have been seen before. New
+    words go through the tokenizer many at a time, with a mark between them.
     """
 
     #: Words kept; beyond that the cache starts anew.
-    MAX_WORDS = 300_000
+    MAX_WORDS = 400_000
     #: Longer words are rare, so keeping them would not pay.
     MAX_CHARS = 64
-    #: Any subset of white space is a safe place to cut.
-    _SPACE = re.compile(r"[ \n\t]+")
+    #: A control character that makes one token of its own; words that hold it are encoded alone.
+    MARK = "\x01"
+    #: New words that are encoded as one text.
+    JOINED = 500
 
     def __init__(self, path: str, specials_are_text: bool):
         import os
@@ -37,26 +41,45 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = specials_are_text
-        self._ids: dict[str, bytes] = {}
+        mark = self._tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self._mark = mark[0] if len(mark) == 1 else None
+        self._ids: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as bytes; nothing for null and for texts without tokens."""
-        import numpy as np
-
-        split = [self._SPACE.split(t) if t else [] for t in texts]
+        # any subset of white space is a safe place to cut
+        split = [t.replace("\n", " ").replace("\t", " ").split(" ") if t else [] for t in texts]
         if len(self._ids) > self.MAX_WORDS:
-            self._ids.clear()
+            self._ids = {"": b""}
         ids = self._ids
-        long_words: dict[str, bytes] = {}
-        new = list({w for words in split for w in words if w not in ids})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, got in zip(part, self._tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                (ids if len(word) <= self.MAX_CHARS else long_words)[word] = np.array(got.ids, dtype="<u4").tobytes()
-        if long_words:
-            return [b"".join([ids[w] if w in ids else long_words[w] for w in words]) for words in split]
+        new = {w for words in split for w in words if w not in ids}
+        alone = [w for w in new if len(w) > self.MAX_CHARS or self.MARK in w or self._mark is None]
+        new.difference_update(alone)
+        ids.update(self._encode_words(list(new)))
+        if alone:
+            long = {w: self._bytes(e.ids) for w, e in zip(alone, self._encode_texts(alone), strict=True)}
+            return [b"".join([ids[w] if w in ids else long[w] for w in words]) for words in split]
         return [b"".join(map(ids.__getitem__, words)) for words in split]
 
+    def _encode_texts(self, texts: list[str]) -> list:
+        return self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def _encode_words(self, words: list[str]) -> Iterable[tuple[str, bytes]]:
+        parts = [words[at : at + self.JOINED] for at in range(0, len(words), self.JOINED)]
+        for at in range(0, len(parts), 16):
+            joined = [f" {self.MARK} ".join(p) for p in parts[at : at + 16]]
+            for own, got in zip(parts[at : at + 16], self._encode_texts(joined), strict=True):
+                flat = np.array(got.ids, dtype="<u4")
+                marks = (np.flatnonzero(flat == self._mark) * 4).tolist()
+                data = flat.tobytes()
+                starts, ends = [0, *[m + 4 for m in marks]], [*marks, len(data)]
+                for word, start, end in zip(own, starts, ends, strict=True):
+                    yield word, data[start:end]
+
 
 def encoder(path: str, specials_are_text: bool = True) -> WordEncoder:
     """One encoder for each worker process and vocabulary."""
