@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.llm.embeddings import op9_embeddings
 from marlstone.llm.language import op8_language
 from marlstone.llm.mixing import OP5_SQL, op5_mixing
 from marlstone.llm.near_duplicates import op4_minhash
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_mixing,
         op7_packing,
         op8_language,
+        op9_embeddings,
         op10_separator_scan,
     )
 }
