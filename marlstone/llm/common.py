@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,3 +44,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(keys: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """Narrow ``keys`` for a join: sent to all tasks up to ``most_rows`` rows, else left to a shuffle.
+
+    The rows are counted first, so give a written table.
+    """
+    return F.broadcast(keys) if keys.count() <= most_rows else keys

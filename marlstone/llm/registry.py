@@ -14,6 +14,7 @@ from marlstone.llm.packing import op7_packing
 from marlstone.llm.secrets import op1_secrets
 from marlstone.llm.separators import op10_separator_scan
 from marlstone.llm.sharding import op3_sharding
+from marlstone.llm.topk import OP6_SQL, op6_topk
 from marlstone.llm.url_filters import OP2_SQL, op2_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_sharding,
         op4_minhash,
         op5_mixing,
+        op6_topk,
         op7_packing,
         op8_language,
         op9_embeddings,
@@ -34,4 +36,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filters": OP2_SQL,
     "op5_mixing": OP5_SQL,
+    "op6_topk": OP6_SQL,
 }
