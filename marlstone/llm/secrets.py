@@ -215,6 +215,15 @@ def _stratum(length: Column) -> Column:
     return sum((F.when(length >= x, 1).otherwise(0) for x in STRATA), F.lit(0))
 
 
+def _numbered(kind: str, nth: int) -> Column:
+    """Spans of a kind whose secret is long enough, with the kind's number."""
+    least = KINDS[kind][2]
+    long_enough = F.filter(f"_in_{kind}", lambda s: F.char_length(s["value"]) >= least)
+    return F.transform(
+        long_enough, lambda s: F.struct(s["start"].alias("start"), F.lit(nth).alias("kind"), s["end"].alias("end"))
+    )
+
+
 def with_candidates(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_base``, spans of known forms, and ``_free``, the candidates apart from them."""
     text = F.coalesce("text", F.lit(""))
@@ -224,16 +233,7 @@ def with_candidates(docs: DataFrame) -> DataFrame:
         {f"_in_{kind}": F.when(F.col(f"_cut_{kind}").isNotNull(), _placed(F.col(f"_cut_{kind}"))) for kind in patterns}
     )
     none = F.expr("cast(array() AS array<struct<start: bigint, kind: int, end: bigint>>)")
-    known = [
-        F.coalesce(
-            F.transform(
-                F.filter(f"_in_{kind}", lambda s, least=least: F.char_length(s["value"]) >= least),
-                lambda s, nth=nth: F.struct(s["start"].alias("start"), F.lit(nth).alias("kind"), s["end"].alias("end")),
-            ),
-            none,
-        )
-        for nth, (kind, (_, _, least)) in enumerate(KINDS.items())
-    ]
+    known = [F.coalesce(_numbered(kind, nth), none) for nth, kind in enumerate(KINDS)]
     based = placed.withColumn("_base", F.array_sort(F.concat(*known)))
     free = F.filter(
         f"_in_{RANDOM}",
