@@ -246,3 +246,23 @@ def near_vectors(
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of all ``embeddings`` at a cosine of 0.9 or more."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: All cosines, and the components of the links among them.
+OP9_SQL = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), edges AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+    WHERE list_cosine_similarity(x.v, y.v) >= 0.9
+), reach(a, b) AS (
+    SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a
+), lowest AS (
+    SELECT a, least(a, min(b)) AS component FROM reach GROUP BY a
+)
+SELECT d.vec_id, (SELECT count(*) FROM edges e WHERE e.a = d.vec_id) AS n_links, coalesce(l.component, d.vec_id) AS component_id,
+       d.vec_id = coalesce(l.component, d.vec_id) AS kept
+FROM embeddings d LEFT JOIN lowest l ON l.a = d.vec_id
+"""

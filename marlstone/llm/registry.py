@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm.embeddings import op9_embeddings
+from marlstone.llm.embeddings import OP9_SQL, op9_embeddings
 from marlstone.llm.language import op8_language
 from marlstone.llm.mixing import OP5_SQL, op5_mixing
-from marlstone.llm.near_duplicates import op4_minhash
+from marlstone.llm.near_duplicates import OP4_SQL, op4_minhash
 from marlstone.llm.packing import op7_packing
-from marlstone.llm.secrets import op1_secrets
+from marlstone.llm.secrets import OP1_SQL, op1_secrets
 from marlstone.llm.separators import op10_separator_scan
 from marlstone.llm.sharding import op3_sharding
 from marlstone.llm.topk import OP6_SQL, op6_topk
@@ -34,7 +34,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_secrets": OP1_SQL,
     "op2_url_filters": OP2_SQL,
+    "op4_minhash": OP4_SQL,
     "op5_mixing": OP5_SQL,
     "op6_topk": OP6_SQL,
+    "op9_embeddings": OP9_SQL,
 }

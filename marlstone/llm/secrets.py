@@ -342,3 +342,105 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
         spans_text(F.col("spans")).alias("spans"),
     )
+
+
+def _cut_sql(nth: int, kind: str, pattern: str, group: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""
+    SELECT row_id, {nth} AS nth, '{kind}' AS kind, {least} AS least, regexp_split_to_array(text, '{quoted}') AS between,
+           regexp_extract_all(text, '{quoted}', 0) AS matches, regexp_extract_all(text, '{quoted}', {group}) AS secrets
+    FROM docs WHERE regexp_matches(text, '{quoted}')"""
+
+
+def _either_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+#: The patterns without what RE2 doesn't know.
+_SQL_CUTS = " UNION ALL ".join(
+    [
+        _cut_sql(0, "assign", KINDS["assign"][0].replace("?i:password|passwd|secret|token|api_?key", "?:" + _either_case("password|passwd|secret|token|api_?key")), 1, 6),
+        _cut_sql(1, "access", KINDS["access"][0], 0, 20),
+        _cut_sql(2, "hex", "[0-9a-f]{24,}", 0, 24),
+        _cut_sql(3, RANDOM, "[A-Za-z0-9+/_=-]{20,}", 0, 20),
+    ]
+)
+
+OP1_SQL = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents
+), cuts AS ({_SQL_CUTS}
+), spans AS (
+    SELECT row_id, nth, kind, least, value, secret, begins, begins + length(value) AS ends FROM (
+        SELECT row_id, nth, kind, least, matches[i] AS value, secrets[i] AS secret,
+               CAST(list_sum(list_transform(between[1:i], lambda x: length(x)))
+                    + coalesce(list_sum(list_transform(matches[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS begins
+        FROM (SELECT *, unnest(range(1, len(matches) + 1)) AS i FROM cuts)
+    ) WHERE length(secret) >= least
+), base AS (
+    SELECT * FROM spans WHERE nth < 3
+), free AS (
+    SELECT * FROM spans s WHERE nth = 3
+      AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row_id = s.row_id AND b.begins < s.ends AND s.begins < b.ends)
+), tokens AS (
+    SELECT *, CASE encoding WHEN 'hex' THEN 0.125::DOUBLE WHEN 'base32' THEN 0.065::DOUBLE WHEN 'base36' THEN 0.06::DOUBLE
+                            WHEN 'base64' THEN 0.055::DOUBLE END AS chance,
+           CASE encoding WHEN 'hex' THEN '{ENCODINGS['hex'][1]}' WHEN 'base32' THEN '{ENCODINGS['base32'][1]}'
+                         WHEN 'base36' THEN '{ENCODINGS['base36'][1]}' WHEN 'base64' THEN '{ENCODINGS['base64'][1]}' END AS abc,
+           translate(regexp_replace(value, '=+$', ''), '-_', '+/') AS plain
+    FROM (SELECT DISTINCT value, CASE
+            WHEN regexp_matches(value, '^([0-9a-f]+|[0-9A-F]+)$') AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-fA-F]') THEN 'hex'
+            WHEN regexp_matches(value, '^[A-Z2-7]+=*$') AND regexp_matches(value, '[2-7]') AND regexp_matches(value, '[A-Z]') THEN 'base32'
+            WHEN regexp_matches(value, '^[0-9a-z]+$') AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') THEN 'base36'
+            WHEN regexp_matches(value, '^[A-Za-z0-9+/_-]+=*$') AND regexp_matches(value, '[A-Za-z]') THEN 'base64' END AS encoding
+          FROM free)
+), chars AS (
+    SELECT value, i, substr(plain, i, 1) AS c, instr(abc, CASE WHEN length(abc) < 64 THEN lower(substr(plain, i, 1)) ELSE substr(plain, i, 1) END) AS r
+    FROM (SELECT *, unnest(range(1, length(plain) + 1)) AS i FROM tokens WHERE encoding IS NOT NULL AND length(plain) >= 8)
+), pairs AS (
+    SELECT value, sum(n * (n - 1) // 2)::DOUBLE AS seen FROM (SELECT value, c, count(*) AS n FROM chars GROUP BY ALL) GROUP BY value
+), steps_of AS (
+    SELECT value, r AS y, lag(r) OVER o AS x, CASE WHEN kind <> lag(kind) OVER o THEN 1 ELSE 0 END AS changed
+    FROM (SELECT *, CASE WHEN c BETWEEN '0' AND '9' THEN 0 WHEN c BETWEEN 'a' AND 'z' THEN 1 WHEN c BETWEEN 'A' AND 'Z' THEN 2 ELSE 3 END AS kind FROM chars)
+    WINDOW o AS (PARTITION BY value ORDER BY i)
+), moments AS (
+    SELECT value, count(*) AS n, sum(changed) / count(*)::DOUBLE AS share,
+           count(*) * sum(x * x) - sum(x) * sum(x) AS vx, count(*) * sum(y * y) - sum(y) * sum(y) AS vy,
+           count(*) * sum(x * y) - sum(x) * sum(y) AS xy
+    FROM steps_of WHERE x IS NOT NULL GROUP BY value
+), measured AS (
+    SELECT value, n, share, seen, (n + 1)::DOUBLE * n / 2 * chance AS due,
+           CASE WHEN vx <= 0 OR vy <= 0 THEN 1.0::DOUBLE ELSE abs(xy::DOUBLE) / (sqrt(vx::DOUBLE) * sqrt(vy::DOUBLE)) END AS rho
+    FROM moments JOIN pairs USING (value) JOIN tokens USING (value)
+), judged AS (
+    SELECT value, CAST(trunc(16 * least(
+        CASE WHEN seen >= due THEN 0 WHEN seen = 0 THEN due ELSE due - seen + seen * ln(seen / due) END,
+        n * CASE WHEN share <= 0.15::DOUBLE THEN 0 WHEN share >= 1 THEN ln(1 / 0.15::DOUBLE)
+                 ELSE share * ln(share / 0.15::DOUBLE) + (1 - share) * ln((1 - share) / 0.85::DOUBLE) END,
+        CASE WHEN rho >= 0.7::DOUBLE THEN 0 ELSE (n - 2) * pow({math.atanh(TEXT_CORRELATION)!r}::DOUBLE - ln((1 + rho) / (1 - rho)) / 2, 2) / 2 END,
+        64.0::DOUBLE)) AS INTEGER) AS steps
+    FROM measured
+), candidates AS (
+    SELECT t.value, coalesce(j.steps, 0) AS steps,
+           (length(t.value) >= 32)::INT + (length(t.value) >= 64)::INT + (length(t.value) >= 128)::INT AS stratum
+    FROM tokens t LEFT JOIN judged j USING (value)
+), least_steps AS (
+    SELECT stratum, min(steps) AS bar FROM (
+        SELECT stratum, steps, sum(n) OVER (PARTITION BY stratum ORDER BY steps DESC) AS found, sum(n) OVER (PARTITION BY stratum) AS everything
+        FROM (SELECT stratum, steps, count(*) AS n FROM candidates GROUP BY ALL)
+    ) WHERE exp(-steps / 16.0::DOUBLE) <= 0.01::DOUBLE * found / everything GROUP BY stratum
+), reported AS (
+    SELECT row_id, nth, kind, begins, ends FROM base
+    UNION ALL
+    SELECT row_id, nth, kind, begins, ends FROM free JOIN candidates USING (value) JOIN least_steps USING (stratum) WHERE steps >= bar
+), joined AS (
+    SELECT row_id, count(*) FILTER (WHERE nth = 0) AS n_assign, count(*) FILTER (WHERE nth = 1) AS n_access,
+           count(*) FILTER (WHERE nth = 2) AS n_hex,
+           string_agg(kind || ':' || begins || ':' || ends, ',' ORDER BY begins, nth) FILTER (WHERE nth < 3) AS base,
+           string_agg(kind || ':' || begins || ':' || ends, ',' ORDER BY begins, nth) AS spans
+    FROM reported GROUP BY row_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs d LEFT JOIN joined j USING (row_id)
+"""
