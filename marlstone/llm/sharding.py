@@ -13,21 +13,25 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import staged, table
 
 DIMENSIONS = ["size", "tokens", "rows"]
+#: What the dimensions count for in the dot product. The last groups to be placed are short texts,
+#: which are rows above all; the weights let them even out bytes and tokens.
+WEIGHTS = (30.0, 10.0, 1.0)
 
 
-def place(vectors: np.ndarray, shards: int, first: int = 0) -> np.ndarray:
+def place(vectors: np.ndarray, shards: int, first: int = 0, weights: tuple[float, ...] | None = None) -> np.ndarray:
     """Shard of each row of ``vectors``, placed largest first.
 
-    A vector goes where its dot product with the residual capacity is highest; every shard's
-    capacity is an equal part of the total in each dimension. Ties go to the shard that comes
+    A vector goes where its dot product with the residual capacity, weighted by dimension, is
+    highest; every shard's capacity is an equal part of the total in each dimension. Ties go to the shard that comes
     first, counting from ``first``.
     """
     capacity = vectors.sum(axis=0) / shards
     scaled = vectors / np.where(capacity > 0, capacity, 1.0)
     residual = np.ones((shards, vectors.shape[1]))
+    weighted = scaled * (1.0 if weights is None else np.array(weights))
     out = np.empty(len(vectors), dtype=np.int64)
-    for i in np.argsort(-scaled.max(axis=1), kind="stable"):
-        best = int(np.argmax(residual @ scaled[i]))
+    for i in np.argsort(-scaled.sum(axis=1), kind="stable"):
+        best = int(np.argmax(residual @ weighted[i]))
         residual[best] -= scaled[i]
         out[i] = (best + first) % shards
     return out
@@ -37,7 +41,7 @@ def _place_bin(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["group", "part"], kind="stable")
         vectors = items[DIMENSIONS].to_numpy(dtype=np.float64)
-        return items[["group", "part"]].assign(shard=place(vectors, shards, int(items["bin"].iloc[0]) % shards))
+        return items[["group", "part"]].assign(shard=place(vectors, shards, int(items["bin"].iloc[0]) % shards, WEIGHTS))
 
     return run
 
