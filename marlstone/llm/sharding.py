@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,49 +16,45 @@ DIMENSIONS = ["size", "tokens", "rows"]
 WEIGHTS = (30.0, 10.0, 1.0)
 
 
-def place(vectors: np.ndarray, shards: int, first: int = 0, weights: tuple[float, ...] | None = None) -> np.ndarray:
-    """Shard of each row of ``vectors``, placed largest first.
+def place(
+    vectors: np.ndarray, room: np.ndarray, scale: np.ndarray | None = None, first: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Shard of each row of ``vectors``, placed largest first, and the room that is left.
 
-    A vector goes where its dot product with the residual capacity, weighted by dimension, is
-    highest; every shard's capacity is an equal part of the total in each dimension. Ties go to the shard that comes
+    A vector goes where its dot product with the residual capacity is highest. ``room`` has the
+    capacity of each shard in each dimension; both are divided by ``scale``, by default the mean
+    capacity, and weighted by WEIGHTS where the dimensions are its. Ties go to the shard that comes
     first, counting from ``first``.
     """
-    capacity = vectors.sum(axis=0) / shards
-    scaled = vectors / np.where(capacity > 0, capacity, 1.0)
-    residual = np.ones((shards, vectors.shape[1]))
-    weighted = scaled * (1.0 if weights is None else np.array(weights))
+    mean = room.mean(axis=0) if scale is None else scale
+    mean = np.where(mean > 0, mean, 1.0)
+    scaled, residual = vectors / mean, np.roll(room / mean, -first, axis=0)
+    weighted = scaled * (WEIGHTS if vectors.shape[1] == len(WEIGHTS) else 1.0)
     out = np.empty(len(vectors), dtype=np.int64)
     for i in np.argsort(-scaled.sum(axis=1), kind="stable"):
         best = int(np.argmax(residual @ weighted[i]))
         residual[best] -= scaled[i]
-        out[i] = (best + first) % shards
-    return out
-
-
-def _place_bin(shards: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values(["group", "part"], kind="stable")
-        vectors = items[DIMENSIONS].to_numpy(dtype=np.float64)
-        return items[["group", "part"]].assign(shard=place(vectors, shards, int(items["bin"].iloc[0]) % shards, WEIGHTS))
-
-    return run
+        out[i] = (best + first) % len(room)
+    return out, np.roll(residual, first, axis=0) * mean
 
 
 def shard_documents(
     docs: DataFrame,
     shards: int = 8,
     tokens: Column | None = None,
-    pieces_a_shard: int = 64,
     items_a_bin: int = 50_000,
+    most_bins: int = 4096,
     rows_a_slice: int = 100_000,
 ) -> DataFrame:
     """Put every document into one of ``shards`` shards whose sizes are near equal.
 
-    Documents of equal text form a group, and a group stays together unless it is heavy: one that
-    holds more than 1 / ``pieces_a_shard`` of a shard in any of the dimensions bytes, tokens and
-    rows is dealt by ``doc_id`` into parts below that size. Groups and parts are dealt by hash into
-    bins of about ``items_a_bin``; each bin is packed by :func:`place` in one task into an equal
-    part of every shard. Their number grows with the input, their size doesn't.
+    Documents of equal text form a group, and a group stays together unless it holds more than a
+    quarter of a shard in any of the dimensions bytes, tokens and rows; then it is dealt by
+    ``doc_id`` into parts of about 1 / 64 of a shard. Groups and parts that weigh enough to matter to a bin,
+    at most 96 for each bin and shard of eight, are placed by :func:`place` first. All others are
+    dealt by hash into bins of about ``items_a_bin``; each bin is packed in one task into an equal
+    part of the room that is left. There are at most ``most_bins`` of them, which bounds what is
+    placed first, on the driver, as well.
 
     ``tokens`` counts the tokens of a row; by default they are runs of non-space characters.
 
@@ -82,23 +76,37 @@ def shard_documents(
     )
     groups = rows.groupBy("group").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     total = groups.agg(F.count(F.lit(1)).alias("groups"), *[F.sum(d).alias(d) for d in DIMENSIONS]).first()
-    bins = max(1, -(-total.groups // items_a_bin))
-    pieces = shards * max(pieces_a_shard, 4 * bins)
-    share = F.greatest(*[F.col(d) / F.lit(float(max(1, total[d] or 0))) for d in DIMENSIONS])
-    heavy = groups.select("group", F.ceil(share * pieces).alias("parts")).filter("parts > 1")
+    totals = np.array([float(total[d] or 0) for d in DIMENSIONS])
+    bins = min(most_bins, max(1, -(-total.groups // items_a_bin)))
+    share = F.greatest(*[F.col(d) / F.lit(max(1.0, x)) for d, x in zip(DIMENSIONS, totals.tolist(), strict=True)])
+    huge = groups.filter(share * (4 * shards) > 1).select("group", F.ceil(share * (64 * shards)).alias("parts"))
 
-    parted = rows.join(heavy, "group", "left").withColumn(
+    parted = rows.join(huge, "group", "left").withColumn(
         "part",
         F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(
             F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts"))
         ),
     )
-    items = (
+    items = staged(
         parted.groupBy("group", "part")
         .agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
-        .withColumn("bin", F.pmod(F.xxhash64("group", "part"), F.lit(bins)))
+        .withColumn("heavy", share * (shards * max(64, 4 * bins)) > 1),
+        "shard-items",
     )
-    placed = items.groupBy("bin").applyInPandas(_place_bin(shards), "group binary, part long, shard int")
+    heavy = items.filter("heavy").orderBy("group", "part").toPandas()
+    room = np.tile(totals / shards, (shards, 1))
+    where, room = place(heavy[DIMENSIONS].to_numpy(dtype=np.float64).reshape(-1, 3), room)
+    rows_placed = [(bytes(g), int(p), int(w)) for g, p, w in zip(heavy["group"], heavy["part"], where, strict=True)]
+    room, mean = room / bins, totals / shards / bins
+
+    def fill(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["group", "part"], kind="stable")
+        found, _ = place(own[DIMENSIONS].to_numpy(dtype=np.float64), room, mean, int(own["bin"].iloc[0]) % shards)
+        return own[["group", "part"]].assign(shard=found)
+
+    kind = "group binary, part long, shard int"
+    light = items.filter("NOT heavy").withColumn("bin", F.pmod(F.xxhash64("group", "part"), F.lit(bins)))
+    placed = light.groupBy("bin").applyInPandas(fill, kind).unionByName(docs.sparkSession.createDataFrame(rows_placed, kind))
 
     slices = max(1, -(-(total["rows"] or 0) // rows_a_slice))
     sharded = staged(

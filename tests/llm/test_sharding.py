@@ -10,7 +10,8 @@ from marlstone.llm.sharding import op3_sharding, place, shard_documents
 
 def test_place_goes_where_the_dot_product_is_highest():
     vectors = np.array([[4.0, 1.0], [1.0, 4.0], [4.0, 1.0], [1.0, 4.0]])
-    got = place(vectors, 2)
+    got, left = place(vectors, np.full((2, 2), 5.0))
+    assert np.allclose(left, 0)
     assert sorted(got[[0, 2]].tolist()) == [0, 1] and sorted(got[[1, 3]].tolist()) == [0, 1]
 
 
@@ -35,6 +36,10 @@ def test_balance_and_groups(spark, small):
         sizes[r.shard] += r.size
     mean = sum(sizes.values()) / 8
     assert max(sizes.values()) < mean + max(r.size for r in rows)
+    shards_of = defaultdict(set)
+    for r in rows:
+        shards_of[by_id[r.doc_id]].add(r.shard)
+    assert all(len(x) == 1 for x in shards_of.values())
 
 
 def test_light_groups_stay_together_and_heavy_ones_are_split(spark):
@@ -44,7 +49,7 @@ def test_light_groups_stay_together_and_heavy_ones_are_split(spark):
     by_id, shards_of = dict(rows), defaultdict(set)
     for r in got:
         shards_of[by_id[r.doc_id]].add(r.shard)
-    assert shards_of["hot text of some length"] == {0, 1, 2, 3}
+    assert len(shards_of["hot text of some length"]) > 1
     assert all(len(s) == 1 for t, s in shards_of.items() if not t.startswith("hot"))
     for dimension in ("size", "tokens"):
         sums = Counter()
