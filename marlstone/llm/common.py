@@ -2,48 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.sources.shared import shared_dir, staged
+from marlstone.sources.tables import load as table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table ``name`` of the data set in ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_OWN_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in local
-    tests, a temporary folder of this machine takes its place.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = context.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = tempfile.mkdtemp(prefix="spark-shared-")
-    return _OWN_DIRS[app]
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lineage cut that any executor can read.
-
-    The files survive the loss of executors and go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["bounded_batches", "shared_dir", "sized", "staged", "table"]
 
 
 def sized(keys: DataFrame, most_rows: int = 500_000) -> DataFrame:
@@ -52,3 +17,15 @@ def sized(keys: DataFrame, most_rows: int = 500_000) -> DataFrame:
     The rows are counted first, so give a written table.
     """
     return F.broadcast(keys) if keys.count() <= most_rows else keys
+
+
+def bounded_batches(df: DataFrame, most: str = "4m") -> DataFrame:
+    """``df``, after the session's Arrow batches have been bounded to a few MB of texts.
+
+    Spark's own bound of 64 MB costs that much in the JVM and again, decoded, in Python for each
+    task. A session that sets its own bound keeps it.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":
+        conf.set(key, most)
+    return df

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import table
+from marlstone.llm.common import bounded_batches, table
 
 #: Characters handled at once; longer texts go in overlapping stretches.
 STRETCH = 250_000
@@ -104,7 +104,7 @@ def train(
     and bucket, so its size is bounded by languages times 2 ** ``bits``. Rows without text or label
     teach nothing; without any such row the model knows no language.
     """
-    labelled = docs.select("doc_id", "text", F.col(label).alias("lang")).filter("text is not null and lang is not null")
+    labelled = bounded_batches(docs).select("doc_id", "text", F.col(label).alias("lang")).filter("text is not null and lang is not null")
     prior = {r.lang: r["docs"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).collect()}
     if not prior:
         return LanguageModel([], np.zeros(0), np.zeros((1 << bits, 0)), tuple(sizes), bits)
@@ -168,7 +168,7 @@ def predict_beside(docs: DataFrame, model: LanguageModel, unknown: str = "und")
         return _predict(texts, shared.value, unknown)
 
     found = language(F.col("text"))
-    return docs.withColumn("_found", found).select(
+    return bounded_batches(docs).withColumn("_found", found).select(
         *docs.columns, F.col("_found.lang_pred").alias("lang_pred"), F.col("_found.score").alias("score")
     )
 

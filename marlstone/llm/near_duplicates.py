@@ -13,8 +13,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import staged, table
+from marlstone.llm.common import bounded_batches, staged, table
 from marlstone.llm.components import connected_components
+from marlstone.llm.tokens import text_slices
 
 #: Values of b bits in a chunk of the signature, of which one may differ.
 CHUNK = 5
@@ -24,7 +25,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 class _WordHashes(dict):
     """64-bit hashes of words; starts anew when it has grown to ``most`` words."""
 
-    most = 300_000
+    most = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
@@ -72,45 +73,28 @@ def signatures(sets: list[np.ndarray], values: int) -> np.ndarray:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, values: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        at = 0
-        while at < len(texts):
-            sets, held = [], 0
-            while at + len(sets) < len(texts) and held < 500_000:
-                sets.append(shingles(texts[at + len(sets)], words))
-                held += len(sets[-1])
+        for part in text_slices(batch, 1):
+            sets = [shingles(text, words) for text in part.column(1).to_pylist()]
             filled = [s for s in sets if len(s)]
             signed = iter(signatures(filled, values)) if filled else iter(())
             rows = [
                 (len(s), xxhash.xxh3_128_digest(s.tobytes()), next(signed).tobytes()) if len(s) else (0, None, None)
                 for s in sets
             ]
-            sizes, keys, signs = zip(*rows, strict=True)
-            yield pa.record_batch(
-                [
-                    pa.array(doc_ids[at : at + len(sets)], pa.int64()),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(keys, pa.binary()),
-                    pa.array(signs, pa.binary()),
-                ],
-                names=["doc_id", "n_shingles", "set_id", "signature"],
-            )
-            at += len(sets)
+            kinds = (pa.int64(), pa.binary(), pa.binary())
+            columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            names = ["doc_id", "n_shingles", "set_id", "signature"]
+            yield pa.record_batch([part.column(0), *columns], names=names)
+    _HASHES.clear()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, start = batch.column(4).to_pylist(), 0
-        while start < len(texts):
-            sets, held = [], 0
-            while start + len(sets) < len(texts) and held < 8_000_000:
-                sets.append(shingles(texts[start + len(sets)], words).tobytes())
-                held += len(sets[-1])
-            own = batch.slice(start, len(sets))
-            yield pa.record_batch(
-                [*own.columns[:4], pa.array(sets, pa.binary())], names=["node", "group", "blocks", "block", "content"]
-            )
-            start += len(sets)
+        for part in text_slices(batch, 4):
+            sets = pa.array([shingles(text, words).tobytes() for text in part.column(4).to_pylist()], pa.binary())
+            names = ["node", "group", "blocks", "block", "content"]
+            yield pa.record_batch([*part.columns[:4], sets], names=names)
+    _HASHES.clear()
 
 
 def linked(sets: list[np.ndarray], percent: int, width: int = 4096) -> np.ndarray:
@@ -256,7 +240,7 @@ def near_duplicates(
     doc_id take no part and have a null component. An empty table gives no rows.
     """
     chunks = chunks_for(percent)
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    read = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = staged(
         read.mapInArrow(
             partial(_fingerprints, words=words, values=CHUNK * chunks),
@@ -303,3 +287,31 @@ def near_duplicates(
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all ``documents`` by shingles of three words, from 85 %."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+#: All pairs that share a shingle, and the components of the links among them.
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+    SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+                      FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL) p
+    JOIN sizes m ON m.doc_id = p.a JOIN sizes n ON n.doc_id = p.b
+    WHERE 100 * common >= 85 * (m.n + n.n - common)
+), edges AS (
+    SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach(a, b) AS (
+    SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a
+), lowest AS (
+    SELECT a, least(a, min(b)) AS component FROM reach GROUP BY a
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(l.component, d.doc_id) AS component_id,
+       d.doc_id = coalesce(l.component, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN lowest l ON l.a = d.doc_id
+"""

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import table
-from marlstone.llm.tokens import default_vocabulary, encoder, text_groups
+from marlstone.llm.common import bounded_batches, table
+from marlstone.llm.tokens import default_vocabulary, encoder, text_slices
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, cost double"
 
@@ -105,17 +105,17 @@ def _pack(
 ) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    encode = encoder(vocabulary, specials_are_text).encode
+    words = encoder(vocabulary, specials_are_text)
     end = np.array([end_id], dtype="<u4").tobytes()
     window = _Window(capacity, linear, quadratic, TaskContext.get().partitionId() << 40)
     for batch in batches:
-        doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for group in text_groups(texts):
-            for i, ids in zip(group, encode(texts[group.start : group.stop]), strict=True):
-                window.add(doc_ids[i], ids + end)
+        for part in text_slices(batch, 1):
+            for doc_id, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist()), strict=True):
+                window.add(doc_id, ids + end)
                 if len(window.rests) >= window_pieces or window.held >= window_bytes:
                     if (out := window.flush()) is not None:
                         yield out
+    words.forget()
     if (out := window.flush()) is not None:
         yield out
 
@@ -128,7 +128,7 @@ def pack_documents(
     linear: float = 1.0,
     quadratic: float = 1.0 / 2048,
     window_pieces: int = 8192,
-    window_bytes: int = 32_000_000,
+    window_bytes: int = 16_000_000,
     specials_are_text: bool = True,
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
@@ -155,7 +155,7 @@ def pack_documents(
         window_bytes=window_bytes,
         specials_are_text=specials_are_text,
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, PIECES)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, PIECES)
 
 
 def piece_digests(pieces: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import staged, table
-from marlstone.llm.tokens import default_vocabulary, encoder, text_groups
+from marlstone.llm.common import bounded_batches, staged, table
+from marlstone.llm.tokens import default_vocabulary, encoder, text_slices
 
 #: Id that closes a document in the streams of :func:`flatten`; no text encodes to it.
 END_ID = 49407
@@ -30,22 +30,21 @@ def flatten(
     by document; the scan doesn't use it. Vocabularies must have fewer than 65,536 ids.
     """
     run = partial(_flatten, vocabulary=vocabulary or default_vocabulary(), end_id=end_id, block_tokens=block_tokens)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCKS)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCKS)
 
 
 def _flatten(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, block_tokens: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    encode, stream = encoder(vocabulary).encode, f"part-{TaskContext.get().partitionId():05d}"
+    words, stream = encoder(vocabulary), f"part-{TaskContext.get().partitionId():05d}"
     held, size, owners, block = [], 0, [], 0  # owners: (doc_id, place of its end in what is held)
     for batch in batches:
-        doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for group in text_groups(texts):
-            for i, ids in zip(group, encode(texts[group.start : group.stop]), strict=True):
+        for part in text_slices(batch, 1):
+            for doc_id, ids in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist()), strict=True):
                 flat = np.append(np.frombuffer(ids, dtype="<u4"), np.uint32(end_id)).astype("<u2")
                 held.append(flat)
                 size += len(flat)
-                owners.append((doc_ids[i], size - 1))
+                owners.append((doc_id, size - 1))
                 if size >= block_tokens:
                     flat, whole = np.concatenate(held), size // block_tokens
                     for k in range(whole):
@@ -56,6 +55,7 @@ def _flatten(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, bl
                     owners = [(d, at - whole * block_tokens) for d, at in owners if at >= whole * block_tokens]
                     held = [flat[whole * block_tokens :]]
                     size = len(held[0])
+    words.forget()
     if size:
         yield _block(stream, block, np.concatenate(held), [d for d, _ in owners])
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import unicodedata
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _LOADED: dict[tuple[str, bool], "WordEncoder"] = {}
 
@@ -25,11 +28,13 @@ class WordEncoder:
     """
 
     #: Words kept; beyond that the cache starts anew.
-    MAX_WORDS = 400_000
+    MAX_WORDS = 350_000
     #: Longer words are rare, so keeping them would not pay.
     MAX_CHARS = 64
     #: A control character that makes one token of its own; words that hold it are encoded alone.
     MARK = "\x01"
+    #: Punctuation that is taken off the end of words, as most of them also occur without.
+    ENDS = ".,;:!?"
     #: New words that are encoded as one text.
     JOINED = 500
 
@@ -37,30 +42,56 @@ class WordEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = specials_are_text
         mark = self._tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self._mark = mark[0] if len(mark) == 1 else None
         self._ids: dict[str, bytes] = {"": b""}
+        # words of lower-case letters need no normalizing and are one pre-token each, whose last id is known as such
+        self._letters, self._last = Tokenizer.from_file(path), None
+        if suffix := getattr(self._letters.model, "end_of_word_suffix", None):
+            self._letters.encode_special_tokens = specials_are_text
+            self._letters.normalizer = normalizers.Sequence([])
+            self._letters.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            )
+            vocabulary = self._letters.get_vocab()
+            self._last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self._last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as bytes; nothing for null and for texts without tokens."""
-        # any subset of white space is a safe place to cut
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") if t else [] for t in texts]
+        split = [self._words(t) if t else [] for t in texts]
         if len(self._ids) > self.MAX_WORDS:
             self._ids = {"": b""}
         ids = self._ids
-        new = {w for words in split for w in words if w not in ids}
+        seen = {w for words in split for w in words if w not in ids}
+        # a single mark after a letter or digit is a token of its own
+        ended = {w for w in seen if w[-1] in self.ENDS and len(w) > 1 and w[-2].isalnum()}
+        new = {w[:-1] if w in ended else w for w in seen}.union(self.ENDS).difference(ids)
         alone = [w for w in new if len(w) > self.MAX_CHARS or self.MARK in w or self._mark is None]
         new.difference_update(alone)
         ids.update(self._encode_words(list(new)))
         if alone:
             long = {w: self._bytes(e.ids) for w, e in zip(alone, self._encode_texts(alone), strict=True)}
+            long |= {w: long[w[:-1]] + ids[w[-1]] for w in ended if w[:-1] in long}
+            ids.update((w, ids[w[:-1]] + ids[w[-1]]) for w in ended if w not in long)
             return [b"".join([ids[w] if w in ids else long[w] for w in words]) for words in split]
+        ids.update([(w, ids[w[:-1]] + ids[w[-1]]) for w in ended])
         return [b"".join(map(ids.__getitem__, words)) for words in split]
 
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        """Any subset of white space is a safe place to cut, and ASCII knows but one lower case."""
+        text = text.replace("\n", " ").replace("\t", " ")
+        return (text.lower() if text.isascii() else text).split(" ")
+
+    def forget(self) -> None:
+        """Free the cache, so that idle workers hold no memory."""
+        self._ids = {"": b""}
+
     def _encode_texts(self, texts: list[str]) -> list:
         return self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
@@ -69,14 +100,29 @@ class WordEncoder:
         return np.array(ids, dtype="<u4").tobytes()
 
     def _encode_words(self, words: list[str]) -> Iterable[tuple[str, bytes]]:
+        letters = [w for w in words if self._is_plain(w)] if self._last is not None else []
+        yield from self._encode_joined(letters, self._letters, " ")
+        plain = set(letters)
+        yield from self._encode_joined([w for w in words if w not in plain], self._tokenizer, f" {self.MARK} ")
+
+    @staticmethod
+    def _is_plain(word: str) -> bool:
+        return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+    def _encode_joined(self, words: list[str], tokenizer, between: str) -> Iterable[tuple[str, bytes]]:
         parts = [words[at : at + self.JOINED] for at in range(0, len(words), self.JOINED)]
         for at in range(0, len(parts), 16):
-            joined = [f" {self.MARK} ".join(p) for p in parts[at : at + 16]]
-            for own, got in zip(parts[at : at + 16], self._encode_texts(joined), strict=True):
+            texts = [between.join(p) for p in parts[at : at + 16]]
+            encoded = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            for own, got in zip(parts[at : at + 16], encoded, strict=True):
                 flat = np.array(got.ids, dtype="<u4")
-                marks = (np.flatnonzero(flat == self._mark) * 4).tolist()
                 data = flat.tobytes()
-                starts, ends = [0, *[m + 4 for m in marks]], [*marks, len(data)]
+                if between == " ":
+                    ends = ((np.flatnonzero(self._last[flat]) + 1) * 4).tolist()
+                    starts = [0, *ends[:-1]]
+                else:
+                    marks = (np.flatnonzero(flat == self._mark) * 4).tolist()
+                    starts, ends = [0, *[m + 4 for m in marks]], [*marks, len(data)]
                 for word, start, end in zip(own, starts, ends, strict=True):
                     yield word, data[start:end]
 
@@ -89,13 +135,12 @@ def encoder(path: str, specials_are_text: bool = True) -> WordEncoder:
     return _LOADED[key]
 
 
-def text_groups(texts: list, max_chars: int = 4_000_000) -> Iterable[range]:
-    """Index ranges over ``texts`` that hold about ``max_chars`` characters each."""
-    start, total = 0, 0
-    for i, text in enumerate(texts):
-        total += len(text or "")
-        if total >= max_chars:
-            yield range(start, i + 1)
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield range(start, len(texts))
+def text_slices(batch: pa.RecordBatch, column: int, max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, each with about ``max_bytes`` of text in ``column``, a longer text alone at most."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(batch):
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
