@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,23 +37,25 @@ class Forest:
     leaves: int = 0
     roots: list = field(default_factory=list)
 
-    def grow(self, sample: np.ndarray, trees: int, rows: int, leaf_rows: int, spill: float, seed: int) -> Forest:
-        """Fit splits to a ``sample`` of ``rows`` rows until leaves should hold ``leaf_rows``."""
+    def grow(self, sample: np.ndarray, trees: int, rows: int, leaf_rows: int, margin: float, seed: int) -> Forest:
+        """Fit splits to a ``sample`` of ``rows`` rows until leaves should hold ``leaf_rows``.
+
+        Rows within ``margin`` of a split go to both sides.
+        """
         random = np.random.default_rng(seed)
         least = max(16.0, leaf_rows * len(sample) / max(rows, 1))
-        self.roots = [self._split(sample, np.arange(len(sample)), least, spill, random) for _ in range(trees)]
+        self.roots = [self._split(sample, np.arange(len(sample)), least, margin, random) for _ in range(trees)]
         return self
 
-    def _split(self, sample: np.ndarray, own: np.ndarray, least: float, spill: float, random) -> tuple | int:
+    def _split(self, sample: np.ndarray, own: np.ndarray, least: float, margin: float, random) -> tuple | int:
         if len(own) > least:
             direction = random.standard_normal(self.dimension)
             direction /= np.linalg.norm(direction)
             along = sample[own] @ direction
-            low, middle, high = np.quantile(along, [0.5 - spill, 0.5, 0.5 + spill])
-            margin = (high - low) / 2
+            middle = float(np.median(along))
             left, right = along <= middle + margin, along >= middle - margin
             if max(left.sum(), right.sum()) < 0.9 * len(own):
-                sides = [self._split(sample, own[side], least, spill, random) for side in (left, right)]
+                sides = [self._split(sample, own[side], least, margin, random) for side in (left, right)]
                 return direction, middle, margin, *sides
         self.leaves += 1
         return self.leaves - 1
@@ -79,29 +82,40 @@ def _compare(rows: pd.DataFrame, leaf: int, low: int, high: int, least: float) -
     """Links between the rows of a cell that no earlier leaf has: weight of links and root by node."""
     rows = rows.sort_values("node")
     nodes, copies, block = rows["node"].to_numpy(), rows["copies"].to_numpy(), rows["block"].to_numpy()
-    unit = unit_rows(np.stack(rows["vector"].to_list()))
-    earlier_leaves = [[x for x in own if x < leaf] for own in rows["leaves"]]
-    number = {x: i for i, x in enumerate(sorted({x for own in earlier_leaves for x in own}))}
-    earlier = np.zeros((len(rows), len(number)), dtype=np.float32)
-    for i, own in enumerate(earlier_leaves):
-        earlier[i, [number[x] for x in own]] = 1
+    unit = np.frombuffer(b"".join(rows["unit"]), dtype="<f8").reshape(len(rows), -1)
     first = np.flatnonzero(block == low)
     second = first if low == high else np.flatnonzero(block == high)
-    links, root = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
+    pairs = []
     for at in range(0, len(first), 1024):
         own = first[at : at + 1024]
-        near = unit[own] @ unit[second].T >= least
-        if number:
-            near &= earlier[own] @ earlier[second].T == 0
-        if low == high:
-            near[np.arange(len(own)), at + np.arange(len(own))] = False
-        links[own] += near @ copies[second]
-        if low != high:
-            links[second] += near.T @ copies[own]
-        # a smaller neighbour of each row, enough to keep what is linked together
-        for i, js in ((i, np.flatnonzero(near[k])) for k, i in enumerate(own) if near[k].any()):
-            _join(root, i, second[js])
-    top = np.array([_find(root, i) for i in range(len(rows))])
+        i, j = np.nonzero(unit[own] @ unit[second].T >= least)
+        i, j = own[i], second[j]
+        kept = i < j if low == high else np.ones(len(i), dtype=bool)
+        pairs.append((i[kept], j[kept]))
+    i, j = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (first[:0], first[:0])
+    met = np.unique(np.concatenate([i, j]))
+    links, root = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
+    if len(met):
+        leaves = rows["leaves"].to_list()
+        earlier = [[x for x in np.frombuffer(leaves[m], dtype="<i4").tolist() if x < leaf] for m in met.tolist()]
+        number = {x: n for n, x in enumerate(sorted({x for own in earlier for x in own}))}
+        shared = np.zeros((len(met), max(1, len(number))), dtype=np.float32)
+        for n, own in enumerate(earlier):
+            shared[n, [number[x] for x in own]] = 1
+        place = np.searchsorted(met, i), np.searchsorted(met, j)
+        new = np.ones(len(i), dtype=bool)
+        for at in range(0, len(i), 100_000):
+            part = slice(at, at + 100_000)
+            new[part] = ~np.logical_and(shared[place[0][part]], shared[place[1][part]]).any(axis=1)
+        i, j = i[new], j[new]
+        np.add.at(links, i, copies[j])
+        np.add.at(links, j, copies[i])
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        starts = np.flatnonzero(np.diff(i, prepend=-1))
+        for start, others in zip(starts.tolist(), np.split(j, starts[1:]), strict=True) if len(i) else ():
+            _join(root, int(i[start]), others)
+    top = np.array([_find(root, n) for n in range(len(rows))], dtype=np.int64)
     found = np.flatnonzero((links > 0) | (top != np.arange(len(rows))))
     return pd.DataFrame({"node": nodes[found], "links": links[found], "root": nodes[top[found]]})
 
@@ -125,9 +139,9 @@ def near_vectors(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     least: float = 0.9,
-    trees: int = 4,
+    trees: int = 3,
     leaf_rows: int = 512,
-    spill: float = 0.1,
+    spill: float = 0.5,
     sample_rows: int = 20_000,
     cell_rows: int = 2048,
     seed: int = 7,
@@ -136,7 +150,8 @@ def near_vectors(
 
     Equal vectors count as one from the start. The forest is fitted to at most about
     ``sample_rows`` of the others, chosen by hash, and so small enough to send to all tasks; then
-    every vector goes down every tree, near a split on both sides. Within a leaf all pairs are
+    every vector goes down every tree, and to both sides of a split where it is nearer to it than
+    ``spill`` times the distance of rows at the threshold along the direction. Within a leaf all pairs are
     compared by cosine in double precision; leaves of more than ``cell_rows`` are cut into blocks,
     whose pairs are cells of their own, so no task grows with a dense region. A pair counts in the
     first leaf that both share, so links are counted without making a row for each; every cell
@@ -165,7 +180,10 @@ def near_vectors(
     sample = classes.filter(point < share).select("vector").toPandas()["vector"]
     for dimension, own in sample.groupby(sample.map(len)):
         size = int(total * len(own) / max(len(sample), 1))
-        forest = Forest(int(dimension)).grow(unit_rows(np.stack(own.to_list())), trees, size, leaf_rows, spill, seed)
+        # along a random direction, rows at the threshold are so far apart (standard deviation)
+        apart = math.sqrt(max(2 - 2 * least, 0.0) / dimension)
+        unit = unit_rows(np.stack(own.to_list()))
+        forest = Forest(int(dimension)).grow(unit, trees, size, leaf_rows, spill * apart, seed)
         forests[int(dimension)] = (first_leaf, forest)
         first_leaf += forest.leaves
     shared = spark.sparkContext.broadcast(forests)
@@ -176,39 +194,45 @@ def near_vectors(
             sizes = np.diff(vectors.offsets.to_numpy())
             flat = vectors.flatten().to_numpy()
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+            units: list = [None] * len(batch)
             leaves: list = [None] * len(batch)
             for dimension in np.unique(sizes).tolist():
                 own = np.flatnonzero(sizes == dimension)
-                if dimension in forests_of():
-                    base, forest = forests_of()[dimension]
-                    unit = unit_rows(flat[starts[own][:, None] + np.arange(dimension)])
-                    for i, found in zip(own.tolist(), forest.route(unit), strict=True):
-                        leaves[i] = [base + x for x in found]
-                else:  # not in the sample: one leaf for the dimension
-                    for i in own.tolist():
-                        leaves[i] = [-dimension]
+                unit = unit_rows(flat[starts[own][:, None] + np.arange(dimension)])
+                # a dimension that is not in the sample has one leaf
+                base, forest = forests_of().get(dimension, (-dimension, None))
+                routes = forest.route(unit) if forest else [[0]] * len(own)
+                for i, row, found in zip(own.tolist(), unit, routes, strict=True):
+                    units[i] = row.tobytes()
+                    leaves[i] = (base + np.array(found)).astype("<i4")
             yield pa.record_batch(
-                [*batch.columns, pa.array(leaves, pa.list_(pa.int32()))], names=[*batch.schema.names, "leaves"]
+                [
+                    batch.column(0),
+                    batch.column(2),
+                    pa.array(units, pa.binary()),
+                    pa.array(leaves, pa.list_(pa.int32())),
+                    pa.array([x.tobytes() for x in leaves], pa.binary()),
+                ],
+                names=["node", "copies", "unit", "leaf", "leaves"],
             )
 
     def forests_of() -> dict:
         return shared.value
 
-    kind = dict(classes.dtypes)["vector"]
     routed = staged(
         classes.select("node", "vector", "copies").mapInArrow(
-            route, f"node long, vector {kind}, copies long, leaves array<int>"
+            route, "node long, copies long, unit binary, leaf array<int>, leaves binary"
         ),
         "vector-leaves",
     )
-    placed = routed.withColumn("leaf", F.explode("leaves"))
+    placed = routed.withColumn("leaf", F.explode("leaf"))
     sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
     blocks = sizes.select("leaf", F.when(F.col("n") <= cell_rows, 1).otherwise(F.ceil(F.col("n") / (cell_rows // 2))).cast("int").alias("blocks"))
     cells = (
         placed.join(blocks, "leaf")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("leaf", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "copies", "vector", "leaves", "block")
+        .select("leaf", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "copies", "unit", "leaves", "block")
     )
 
     def compare(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
