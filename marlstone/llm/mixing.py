@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import staged, table
+from marlstone.llm.common import sized, staged, table
 
 #: Exponents are multiples of 1 / GRID.
 GRID = 1024
@@ -130,7 +130,7 @@ def mix_sources(
     )
     epochs = F.sequence(F.lit(0), F.when(F.col("rest") > 0, F.col("full")).otherwise(F.col("full") - 1))
     dealt = (
-        rows.join(planned, "source")
+        rows.join(sized(staged(planned, "mix-plan")), "source")
         .filter("full > 0 OR rest > 0")
         .withColumn("block", F.pmod(_number(_digest(seed, F.col("doc_id"))), F.col("blocks")))
     )
