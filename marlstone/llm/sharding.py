@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import staged, table
+from marlstone.llm.common import sized, staged, table
 
 DIMENSIONS = ["size", "tokens", "rows"]
 #: What the dimensions count for in the dot product. The last groups to be placed are short texts,
@@ -81,7 +81,7 @@ def shard_documents(
     share = F.greatest(*[F.col(d) / F.lit(max(1.0, x)) for d, x in zip(DIMENSIONS, totals.tolist(), strict=True)])
     huge = groups.filter(share * (4 * shards) > 1).select("group", F.ceil(share * (64 * shards)).alias("parts"))
 
-    parted = rows.join(huge, "group", "left").withColumn(
+    parted = rows.join(sized(staged(huge, "shard-huge")), "group", "left").withColumn(
         "part",
         F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(
             F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts"))
