@@ -29,9 +29,21 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+#: Directions that a node tries, and the quantiles along each at which it may be split.
+DIRECTIONS, QUANTILES = 4, (0.5, 0.375, 0.625, 0.25, 0.75, 0.125, 0.875)
+#: A node may put this share of its rows on both sides, and this share on its larger side.
+MOST_OVERLAP, MOST_SIDE = 1 / 3, 0.9
+
+
 @dataclass
 class Forest:
-    """Trees of splits; a row near a split goes to both sides, so it may reach several leaves."""
+    """Trees of splits; a row near a split goes to both sides, so it may reach several leaves.
+
+    A split must not let the sum of rows ** 1.5 over its sides grow, and no side may fall below a
+    quarter of the size at which splitting ends. So over a whole tree a row reaches at most
+    2 * sqrt(rows / that size) leaves on average, however dense the rows lie. A node that has no
+    such split is a leaf; its rows are compared in blocks.
+    """
 
     dimension: int
     leaves: int = 0
@@ -49,13 +61,23 @@ class Forest:
 
     def _split(self, sample: np.ndarray, own: np.ndarray, least: float, margin: float, random) -> tuple | int:
         if len(own) > least:
-            direction = random.standard_normal(self.dimension)
-            direction /= np.linalg.norm(direction)
-            along = sample[own] @ direction
-            middle = float(np.median(along))
-            left, right = along <= middle + margin, along >= middle - margin
-            if max(left.sum(), right.sum()) < 0.9 * len(own):
-                sides = [self._split(sample, own[side], least, margin, random) for side in (left, right)]
+            directions = random.standard_normal((DIRECTIONS, self.dimension))
+            directions /= np.linalg.norm(directions, axis=1, keepdims=True)
+            best = None
+            for direction, along in zip(directions, directions @ sample[own].T, strict=True):
+                ordered = np.sort(along)
+                for middle in np.quantile(ordered, QUANTILES).tolist():
+                    left = int(np.searchsorted(ordered, middle + margin, side="right"))
+                    right = len(own) - int(np.searchsorted(ordered, middle - margin, side="left"))
+                    growth = (left**1.5 + right**1.5) / len(own) ** 1.5
+                    fits = growth <= 1 and left + right <= (1 + MOST_OVERLAP) * len(own)
+                    if fits and min(left, right) >= least / 4 and max(left, right) < MOST_SIDE * len(own):
+                        if best is None or growth < best[0]:
+                            best = growth, direction, middle, along
+            if best is not None:
+                _, direction, middle, along = best
+                parts = along <= middle + margin, along >= middle - margin
+                sides = [self._split(sample, own[side], least, margin, random) for side in parts]
                 return direction, middle, margin, *sides
         self.leaves += 1
         return self.leaves - 1
@@ -151,7 +173,8 @@ def near_vectors(
     Equal vectors count as one from the start. The forest is fitted to at most about
     ``sample_rows`` of the others, chosen by hash, and so small enough to send to all tasks; then
     every vector goes down every tree, and to both sides of a split where it is nearer to it than
-    ``spill`` times the distance of rows at the threshold along the direction. Within a leaf all pairs are
+    ``spill`` times the distance of rows at the threshold along the direction. Where rows lie so dense
+    that splits would mostly put them on both sides, splitting ends (see :class:`Forest`). Within a leaf all pairs are
     compared by cosine in double precision; leaves of more than ``cell_rows`` are cut into blocks,
     whose pairs are cells of their own, so no task grows with a dense region. A pair counts in the
     first leaf that both share, so links are counted without making a row for each; every cell

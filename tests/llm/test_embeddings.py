@@ -1,8 +1,10 @@
 """Embedding near-duplicates against all cosines."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
-from marlstone.llm.embeddings import near_vectors, unit_rows
+from marlstone.llm.embeddings import Forest, near_vectors, unit_rows
 
 
 def plain(rows, least):
@@ -51,3 +53,24 @@ def test_odd_tables(spark):
     got = sorted((tuple(r) for r in near_vectors(df).collect()), key=str)
     assert got == sorted([(None, 0, None, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)], key=str)
     assert near_vectors(df.limit(0)).count() == 0
+
+
+def test_dense_group_ends_splitting_and_loses_no_links(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    n, size, least = 21_000, 64, 0.9
+    vectors = unit_rows(rng.standard_normal((n, size)))
+    centre = unit_rows(rng.standard_normal((1, size)))
+    dense = n // 3
+    vectors[:dense] = np.sqrt(0.95) * centre + np.sqrt(0.05) * vectors[:dense]
+    unit = unit_rows(vectors.astype(np.float32))
+    forest = Forest(size).grow(unit, 1, n, 512, 0.5 * np.sqrt(0.2 / size), 7)
+    placed = np.concatenate(forest.route(unit))
+    assert forest.leaves < 400 and len(placed) < 6 * n and np.bincount(placed).max() < n / 2
+    column = pa.FixedSizeListArray.from_arrays(pa.array(vectors.astype(np.float32).ravel()), size).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": column}), tmp_path / "dense.parquet")
+    got = near_vectors(spark.read.parquet(str(tmp_path / "dense.parquet"))).toPandas().sort_values("vec_id")
+    want = sum(int((unit[at : at + 1000] @ unit.T >= least).sum()) for at in range(0, n, 1000)) - n
+    found = int(got["n_links"].sum())
+    print(f"leaves {forest.leaves}, placements a row {len(placed) / n:.2f}, largest leaf {np.bincount(placed).max()}, links {found} of {want}")
+    assert 0.999 * want <= found <= want
+    assert (got["component_id"].to_numpy()[:dense] == 0).all()
