@@ -56,7 +56,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048 ids, balanced by attention cost; one row per piece."""
-    return pack_documents(docs)
+    return pack_documents(docs, specials_are_text=False)
 
 
 #: (name, function); each takes (spark, docs, sf_dir), and its result, written and read again, is the next one's docs.

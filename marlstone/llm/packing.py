@@ -138,7 +138,8 @@ def pack_documents(
     ``window_bytes`` of ids) are packed together by :func:`balance`, so that attention cost,
     ``linear`` * length + ``quadratic`` * length squared for each piece, is even over sequences.
     Each window leaves less than one sequence of padding. Nothing is shuffled, and a task holds one
-    window at a time.
+    window at a time. With ``specials_are_text``, added tokens of the vocabulary that occur in a text
+    are encoded like any text; without, they give their own ids, as by the library's default.
 
     Returns one row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset, cost. A null or empty text is its end id alone; null and
@@ -166,5 +167,5 @@ def piece_digests(pieces: DataFrame) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pack all ``documents`` into sequences of 2048 tokens."""
-    return piece_digests(pack_documents(table(spark, sf_dir, "documents")))
+    """Pack all ``documents`` into sequences of 2048 tokens, with the ids of the library's default."""
+    return piece_digests(pack_documents(table(spark, sf_dir, "documents"), specials_are_text=False))

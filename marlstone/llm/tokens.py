@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -25,6 +26,9 @@ class WordEncoder:
     Only for vocabularies that drop white space and never join words across it: there the ids of a
     text are those of its words, one after the other, and most words have been seen before. New
     words go through the tokenizer many at a time, with a mark between them.
+
+    Without ``specials_are_text``, the vocabulary's added tokens are found in the raw text and give
+    their own ids, as by the library's default.
     """
 
     #: Words kept; beyond that the cache starts anew.
@@ -45,14 +49,22 @@ class WordEncoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = specials_are_text
+        # words never hold added tokens: those are taken out before, so what lower-casing makes one stays text
+        self._tokenizer.encode_special_tokens = True
+        added = {} if specials_are_text else self._tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word for t in added.values()):
+            raise ValueError("added tokens that are matched as single words or in normalized text are not supported")
+        # no word holds a space, so these keys are none
+        self._added = {" " + t.content: self._bytes([i]) for i, t in added.items()}
+        longest = sorted((t.content for t in added.values()), key=len, reverse=True)
+        self._added_in = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         mark = self._tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self._mark = mark[0] if len(mark) == 1 else None
-        self._ids: dict[str, bytes] = {"": b""}
+        self._ids: dict[str, bytes] = {"": b"", **self._added}
         # words of lower-case letters need no normalizing and are one pre-token each, whose last id is known as such
         self._letters, self._last = Tokenizer.from_file(path), None
         if suffix := getattr(self._letters.model, "end_of_word_suffix", None):
-            self._letters.encode_special_tokens = specials_are_text
+            self._letters.encode_special_tokens = True
             self._letters.normalizer = normalizers.Sequence([])
             self._letters.pre_tokenizer = pre_tokenizers.Sequence(
                 [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
@@ -63,9 +75,9 @@ class WordEncoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text as bytes; nothing for null and for texts without tokens."""
-        split = [self._words(t) if t else [] for t in texts]
+        split = [self._split(t) if t else [] for t in texts]
         if len(self._ids) > self.MAX_WORDS:
-            self._ids = {"": b""}
+            self.forget()
         ids = self._ids
         seen = {w for words in split for w in words if w not in ids}
         # a single mark after a letter or digit is a token of its own
@@ -82,6 +94,13 @@ class WordEncoder:
         ids.update([(w, ids[w[:-1]] + ids[w[-1]]) for w in ended])
         return [b"".join(map(ids.__getitem__, words)) for words in split]
 
+    def _split(self, text: str) -> list[str]:
+        """Words and the keys of added tokens, in order."""
+        parts = self._added_in.split(text) if self._added_in else [text]
+        if len(parts) == 1:
+            return self._words(text)
+        return [w for n, part in enumerate(parts) for w in ([" " + part] if n % 2 else self._words(part))]
+
     @staticmethod
     def _words(text: str) -> list[str]:
         """Any subset of white space is a safe place to cut, and ASCII knows but one lower case."""
@@ -90,7 +109,7 @@ class WordEncoder:
 
     def forget(self) -> None:
         """Free the cache, so that idle workers hold no memory."""
-        self._ids = {"": b""}
+        self._ids = {"": b"", **self._added}
 
     def _encode_texts(self, texts: list[str]) -> list:
         return self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)

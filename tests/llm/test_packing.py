@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from marlstone.llm.packing import balance, op7_packing, pack_documents
 from marlstone.llm.tokens import default_vocabulary, encoder
 
@@ -74,3 +75,22 @@ def test_encoder_equals_tokenizer_after_forgetting():
     for _ in range(2):
         assert [x + b"\x01\0\0\0" for x in words.encode(texts)] == [x.tobytes() for x in plain_ids(texts)]
         words.forget()
+
+
+def test_marks_of_the_vocabulary_get_the_ids_of_the_plain_call(spark, tmp_path):
+    texts = [
+        "a <|endoftext|> b",
+        "<|startoftext|>One<|endoftext|><|endoftext|>.",
+        "<|ENDOFTEXT|> <|endof text|> <|<|endoftext|>|>",
+        "É e<|endoftext|>\u0301 İ<|startoftext|>ΑΣ, it<|endoftext|>'s",
+        "no mark. " * 50,
+        "x" * 100 + "<|endoftext|>" + "y" * 100,
+        "a\x01<|endoftext|>\x01 b.",
+    ]
+    tokenizer = Tokenizer.from_file(default_vocabulary())
+    ids = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], dtype="<u4") for i, t in enumerate(texts)}
+    assert ids[0].tolist() == [320, 49407, 321, 1]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    check(op7_packing(spark, str(tmp_path)).collect(), ids, 2048, True)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    check(corpus_pipeline.pack(spark, docs, str(tmp_path)).collect(), ids, 2048, False)
