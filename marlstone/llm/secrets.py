@@ -23,8 +23,12 @@ KINDS = {
 }
 RANDOM = "random"
 
-#: Runs of the characters of common encodings, long enough for the tests to tell.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Runs of the characters of common encodings, with their padding long enough for the tests to tell.
+#: '=' is padding only where the run ends with it; in NAME=VALUE it parts two runs.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_=-]{20})"
+    r"(?:[A-Za-z0-9+/_-]{20,}+(?:=+(?![A-Za-z0-9+/_=-]))?|[A-Za-z0-9+/_-]++=+(?![A-Za-z0-9+/_=-]))"
+)
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 #: encoding: (pattern of the whole candidate, alphabet in order, least chance that two characters
 #: of a string which is no secret are equal). The first that fits counts; plain numbers fit none.

@@ -5,7 +5,7 @@ import random
 import re
 import string
 
-from marlstone.llm.secrets import evidence, find_secrets, op1_secrets, redacted, spans_text
+from marlstone.llm.secrets import CANDIDATE, evidence, find_secrets, op1_secrets, redacted, spans_text
 from pyspark.sql import functions as F
 
 ASSIGN = re.compile(
@@ -95,3 +95,35 @@ def test_random_strings_among_words_are_found(spark):
 def test_redaction_merges_overlaps(spark):
     row = find_secrets(spark.createDataFrame([("a password=0123456789abcdef01234567 b",)], "text string"))
     assert row.select(redacted(F.col("text"), F.col("spans")).alias("x")).first().x == "a [SECRET] b"
+
+
+def test_random_values_after_an_equals_sign_are_found(spark):
+    rng = random.Random(9)
+    alphabet = string.ascii_letters + string.digits + "+/"
+    value = lambda n: "".join(rng.choices(alphabet, k=n))
+    forms = ["auth={}", "private_key={}==", "see ?sig={}&x=1", "export aws_access={}=", "a_name_of_more_than_twenty_letters={}", "k={}=="]
+    values = [value(43) for _ in range(60)]
+    rows = [(i, forms[i % 6].format(v), forms[i % 6]) for i, v in enumerate(values)]
+    rows += [(100 + i, rows[i][1].replace(rows[i][2].split("{")[0], ""), rows[i][2].split("}")[0].split("{")[1] + "{}" + rows[i][2].split("}")[1]) for i in range(60)]
+    found = find_secrets(spark.createDataFrame(rows, "doc_id long, text string, form string"))
+    clean = {r.doc_id: (r.text, r.form, r.clean) for r in found.select("doc_id", "text", "form", redacted(F.col("text"), F.col("spans")).alias("clean")).collect()}
+    hits = {d for d, (text, _, out) in clean.items() if out != text}
+    assert len([d for d in hits if d < 100]) >= 54
+    # the same values are found with and without a name before them, and their padding goes with them
+    assert {d for d in hits if d < 100} == {d - 100 for d in hits if d >= 100}
+    for d in hits:
+        _, form, out = clean[d]
+        assert out == form.replace("{}==", "{}").replace("{}=", "{}").format("[SECRET]")
+
+
+def test_candidates_are_as_in_plain_python():
+    def plain(text):
+        for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+            for part in re.finditer("[A-Za-z0-9+/_-]+(=+$)?", m[0]):
+                if len(part[0]) >= 20:
+                    yield m.start() + part.start(), part[0]
+
+    rng = random.Random(11)
+    for _ in range(300):
+        text = "".join("".join(rng.choices("aZ9+_-", k=rng.choice((0, 3, 18, 19, 20, 30)))) + rng.choice(("", "=", "==", " ", "\n", "=\n", ". ")) for _ in range(9))
+        assert [(m.start(), m[0]) for m in re.finditer(CANDIDATE, text)] == list(plain(text)), text
