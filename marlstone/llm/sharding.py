@@ -49,8 +49,9 @@ def shard_documents(
     """Put every document into one of ``shards`` shards whose sizes are near equal.
 
     Documents of equal text form a group, and a group stays together unless it holds more than a
-    quarter of a shard in any of the dimensions bytes, tokens and rows; then it is dealt by
-    ``doc_id`` into parts of about 1 / 64 of a shard. Groups and parts that weigh enough to matter to a bin,
+    whole shard in any of the dimensions bytes, tokens and rows; then it is dealt by ``doc_id`` into
+    parts of about 1 / 64 of a shard. The rows of groups of more than a quarter of a shard are dealt
+    so as well, but only to spread the work: their parts go to one shard. Groups and parts that weigh enough to matter to a bin,
     at most 96 for each bin and shard of eight, are placed by :func:`place` first. All others are
     dealt by hash into bins of about ``items_a_bin``; each bin is packed in one task into an equal
     part of the room that is left. There are at most ``most_bins`` of them, which bounds what is
@@ -79,7 +80,9 @@ def shard_documents(
     totals = np.array([float(total[d] or 0) for d in DIMENSIONS])
     bins = min(most_bins, max(1, -(-total.groups // items_a_bin)))
     share = F.greatest(*[F.col(d) / F.lit(max(1.0, x)) for d, x in zip(DIMENSIONS, totals.tolist(), strict=True)])
-    huge = groups.filter(share * (4 * shards) > 1).select("group", F.ceil(share * (64 * shards)).alias("parts"))
+    huge = groups.filter(share * (4 * shards) > 1).select(
+        "group", F.ceil(share * (64 * shards)).alias("parts"), (share * shards <= 1).alias("whole")
+    )
 
     parted = rows.join(sized(staged(huge, "shard-huge")), "group", "left").withColumn(
         "part",
@@ -88,15 +91,24 @@ def shard_documents(
         ),
     )
     items = staged(
-        parted.groupBy("group", "part")
-        .agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
+        parted.groupBy("group", F.when(F.col("whole"), F.lit(0).cast("long")).otherwise(F.col("part")).alias("part"))
+        .agg(
+            F.sum("size").alias("size"),
+            F.sum("tokens").alias("tokens"),
+            F.count(F.lit(1)).alias("rows"),
+            F.coalesce(F.max(F.when(F.col("whole"), F.col("parts"))), F.lit(1)).alias("parts"),
+        )
         .withColumn("heavy", share * (shards * max(64, 4 * bins)) > 1),
         "shard-items",
     )
     heavy = items.filter("heavy").orderBy("group", "part").toPandas()
     room = np.tile(totals / shards, (shards, 1))
     where, room = place(heavy[DIMENSIONS].to_numpy(dtype=np.float64).reshape(-1, 3), room)
-    rows_placed = [(bytes(g), int(p), int(w)) for g, p, w in zip(heavy["group"], heavy["part"], where, strict=True)]
+    rows_placed = [
+        (bytes(g), int(p) + k, int(w))
+        for g, p, n, w in zip(heavy["group"], heavy["part"], heavy["parts"], where, strict=True)
+        for k in range(int(n))
+    ]
     room, mean = room / bins, totals / shards / bins
 
     def fill(own: pd.DataFrame) -> pd.DataFrame:

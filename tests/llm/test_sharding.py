@@ -65,3 +65,20 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")
     check(shard_documents(docs, 2).collect(), [(d, t) for d, t, _ in rows], 2)
     assert shard_documents(docs.limit(0), 2).count() == 0
+
+
+def test_groups_that_fit_into_a_shard_stay_whole(spark):
+    rows = [(i, "a") for i in range(1600)] + [(5000 + i, f"some words {i % 10} " * 20) for i in range(3000)]
+    rows += [(20_000 + i, f"text {i} of its own " * 15) for i in range(11_400)]
+    rows += [(40_000 + i, "far too many") for i in range(4000)]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    check(got, rows, 8)
+    by_id, shards_of, sizes = dict(rows), defaultdict(set), Counter()
+    for r in got:
+        shards_of[by_id[r.doc_id]].add(r.shard)
+        sizes[r.shard] += r.size
+    assert [t for t, s in shards_of.items() if len(s) > 1] == ["far too many"]
+    assert max(sizes.values()) < 1.03 * sum(sizes.values()) / 8
+    counts = Counter(r.shard for r in got)
+    print("rows of the largest shard over the mean", max(counts.values()) * 8 / len(got))
+    assert max(counts.values()) < 2 * len(got) / 8
