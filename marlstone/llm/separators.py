@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -68,22 +69,67 @@ def _block(stream: str, block: int, ids: np.ndarray, doc_ids: list) -> pa.Record
     )
 
 
-def read_flat_files(spark: SparkSession, path: str, token_bytes: int = 2, block_tokens: int = 1 << 18) -> DataFrame:
+def read_flat_files(
+    spark: SparkSession, path: str, token_bytes: int = 2, block_tokens: int = 1 << 18, task_bytes: int = 1 << 26
+) -> DataFrame:
     """Flat token files under ``path`` as blocks for :func:`scan`; each file is one stream.
 
-    Spark reads each file in one task, so files should stay within a task's memory.
+    Spark lists the files; their blocks are dealt to tasks of about ``task_bytes``, and each task
+    seeks and reads one block at a time, so files may be of any size. Files are opened by pyarrow's
+    file systems; of a store that those cannot open, Spark reads each file whole in one task.
     """
     size = token_bytes * block_tokens
+    files = spark.read.format("binaryFile").load(path)
+    listed = files.select("path", "length")
+    first = listed.first()
+    if first is not None and not _opens(first["path"]):
+        return files.select("path", "content").mapInArrow(partial(_cut, size=size, token_bytes=token_bytes), BLOCKS)
+    count = F.ceil(F.col("length") / size)
+    blocks = listed.agg(F.sum(count)).first()[0] or 0
+    places = listed.filter("length > 0").select(
+        "path", "length", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("block")
+    )
+    # given a number, the tasks are not merged again for having few bytes in their places
+    tasks = max(1, -(-int(blocks) // max(1, task_bytes // size)))
+    return places.repartition(tasks).mapInArrow(partial(_read, size=size, token_bytes=token_bytes), BLOCKS)
+
+
+def _file_system(path: str) -> tuple:
+    """pyarrow's file system of a path as Spark spells it, and the path there."""
+    from pyarrow import fs
+
+    scheme, authority, rest = re.fullmatch(r"(?s)(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/]*))?(/.*)", path).groups()
+    if scheme in (None, "file"):
+        return fs.LocalFileSystem(), rest
+    system, root = fs.FileSystem.from_uri(f"{scheme}://{authority or ''}/")
+    return system, root.rstrip("/") + rest
+
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                data = content.as_buffer()
-                for block, at in enumerate(range(0, data.size, size)):
-                    ids = np.frombuffer(data.slice(at, min(size, data.size - at)), dtype=f"<u{token_bytes}")
-                    yield _block(name.as_py(), block, ids, None)
+def _opens(path: str) -> bool:
+    try:
+        system, place = _file_system(path)
+        with system.open_input_file(place):
+            return True
+    except (AttributeError, OSError, ValueError, NotImplementedError):
+        return False
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, BLOCKS)
+
+def _read(batches: Iterator[pa.RecordBatch], size: int, token_bytes: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, length, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            system, place = _file_system(path)
+            with system.open_input_file(place) as file:
+                data = file.read_at(min(size, length - block * size), block * size)
+            yield _block(path, block, np.frombuffer(data, dtype=f"<u{token_bytes}"), None)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], size: int, token_bytes: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, content in zip(batch.column(0), batch.column(1), strict=True):
+            data = content.as_buffer()
+            for block, at in enumerate(range(0, data.size, size)):
+                ids = np.frombuffer(data.slice(at, min(size, data.size - at)), dtype=f"<u{token_bytes}")
+                yield _block(name.as_py(), block, ids, None)
 
 
 def _scan(batches: Iterator[pa.RecordBatch], end_id: int, token_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Separator scan: an exact round trip."""
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from marlstone.llm.separators import END_ID, flatten, op10_separator_scan, read_flat_files, scan
@@ -45,3 +46,17 @@ def test_flat_files(spark, tmp_path):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert scan(flatten(docs)).count() == 0
+
+
+def test_blocks_of_a_large_file_are_read_by_many_tasks(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    ids = rng.integers(0, 100, 4_000_003).astype("<u2")
+    ids[rng.random(len(ids)) < 0.0001] = END_ID
+    (tmp_path / "with space.bin").write_bytes(ids.tobytes())
+    blocks = read_flat_files(spark, str(tmp_path), block_tokens=1 << 16, task_bytes=1 << 20)
+    tasks = blocks.select(F.spark_partition_id().alias("task"), F.length("payload").alias("n")).groupBy("task").agg(F.count("n").alias("blocks"), F.max("n").alias("most")).collect()
+    assert len(tasks) == 8 and sum(t.blocks for t in tasks) == 62 and max(t.blocks for t in tasks) <= 16
+    assert max(t.most for t in tasks) == 2 << 16
+    stops = [*(np.flatnonzero(ids == END_ID) + 1).tolist(), len(ids)]
+    want = [(s, e - s) for s, e in zip([0, *stops], stops, strict=False) if e > s]
+    assert [(r.start, r.n_tokens) for r in scan(blocks).orderBy("ordinal").collect()] == want
