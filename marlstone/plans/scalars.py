@@ -147,7 +147,10 @@ def udf_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     def spread(balance: pd.Series) -> float:
         return balance.max() - balance.min()
 
-    return load(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(spread("c_acctbal").alias("spread"))
+    # the function sees two balances of a segment, however many customers it has
+    ends = load(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
+    balances = ends.select("c_mktsegment", F.explode(F.array("low", "high")).alias("c_acctbal"))
+    return balances.groupBy("c_mktsegment").agg(spread("c_acctbal").alias("spread"))
 
 
 @query("SELECT n_nationkey, unnest(string_split(n_name, '_')) AS word FROM nation")
@@ -167,12 +170,22 @@ def udf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, event_id, value - first_value(value) OVER (PARTITION BY user_id ORDER BY ts) AS change FROM events
 """)
 def udf_grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first value of a user is joined to its events, which are then dealt in slices of about 50,000."""
+
     def change(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        return rows.assign(change=rows["value"] - rows["value"].iloc[0])[["user_id", "event_id", "change"]]
+        return rows.assign(change=rows["value"] - rows["first"])[["user_id", "event_id", "change"]]
 
-    grouped = load(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value").groupBy("user_id")
-    return grouped.applyInPandas(change, "user_id long, event_id long, change double")
+    events = load(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    order = F.struct(F.col("ts").isNull(), "ts", "event_id")
+    firsts = events.groupBy(F.col("user_id").alias("user")).agg(
+        F.min_by("value", order).alias("first"), F.ceil(F.count(F.lit(1)) / 50_000).alias("slices")
+    )
+    sliced = events.join(firsts, F.col("user_id").eqNullSafe(F.col("user"))).withColumn(
+        "slice", F.pmod(F.xxhash64("event_id"), F.col("slices"))
+    )
+    # else the join's partitioning by user would serve, with all slices of a user in one task
+    dealt = sliced.repartition("user_id", "slice")
+    return dealt.groupBy("user_id", "slice").applyInPandas(change, "user_id long, event_id long, change double")
 
 
 @query("""
@@ -181,11 +194,12 @@ FROM customer c FULL JOIN supplier s ON c.c_nationkey = s.s_nationkey WHERE c.c_
 """)
 def udf_cogrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     def counts(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"nationkey": left["c_nationkey"].iloc[:1], "customers": len(left), "suppliers": len(right)})
+        return pd.DataFrame({"nationkey": left["c_nationkey"], "customers": left["n"], "suppliers": right["n"].sum()})
 
-    customers = load(spark, sf_dir, "customer").select("c_nationkey", "c_custkey").groupBy("c_nationkey")
-    suppliers = load(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey").groupBy("s_nationkey")
-    return customers.cogroup(suppliers).applyInPandas(counts, "nationkey int, customers long, suppliers long")
+    # counted before, so that the function sees one row of a nation from each side
+    customers = load(spark, sf_dir, "customer").filter("c_nationkey IS NOT NULL").groupBy("c_nationkey").agg(F.count_distinct("c_custkey").alias("n"))
+    suppliers = load(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count_distinct("s_suppkey").alias("n"))
+    return customers.groupBy("c_nationkey").cogroup(suppliers.groupBy("s_nationkey")).applyInPandas(counts, "nationkey int, customers long, suppliers long")
 
 
 @query("SELECT o_orderkey, o_totalprice / 100 AS hundreds FROM orders WHERE o_totalprice > 100000")

@@ -50,3 +50,28 @@ def test_entry_has_rows(spark):
 
 def test_sql_belongs_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+#: Query: what its plan holds so that the pandas function sees bounded groups.
+FED = {
+    "udf_aggregate": "min(c_acctbal",
+    "udf_grouped_map": "slice",
+    "udf_cogrouped": "count(distinct c_custkey",
+    "udf_window": "max(c_acctbal",
+}
+
+
+@pytest.mark.parametrize("name", sorted(FED))
+def test_pandas_functions_see_bounded_groups(spark, small, name):
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert FED[name] in plan, plan
+
+
+def test_a_hot_user_is_dealt_in_slices(spark, tmp_path):
+    n = 180_000
+    values = pd.DataFrame({"user_id": [1 if i % 3 else i % 100 for i in range(n)], "event_id": range(n), "value": [float((i * 7) % 1000) for i in range(n)]})
+    values["ts"] = pd.Timestamp("2024-01-01") + pd.to_timedelta((values["event_id"] * 7919) % n, unit="s")
+    values.astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    got = QUERIES["udf_grouped_map"](spark, str(tmp_path)).toPandas().set_index("event_id")["change"].sort_index()
+    first = values.sort_values("ts").groupby("user_id")["value"].transform("first").sort_index()
+    assert (got.to_numpy() == (values["value"] - first).to_numpy()).all()
