@@ -129,7 +129,7 @@ def pack_documents(
     quadratic: float = 1.0 / 2048,
     window_pieces: int = 8192,
     window_bytes: int = 16_000_000,
-    specials_are_text: bool = True,
+    specials_are_text: bool = False,
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
@@ -142,8 +142,9 @@ def pack_documents(
     are encoded like any text; without, they give their own ids, as by the library's default.
 
     Returns one row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit),
-    doc_tokens, sequence_id, offset, cost. A null or empty text is its end id alone; null and
-    repeated doc_ids are packed row by row; an empty table gives no rows.
+    doc_tokens, sequence_id, offset, cost. A null or empty text is its end id alone; texts of any
+    length are encoded whole; null and repeated doc_ids are packed row by row; columns other than
+    doc_id and text play no part, whatever their names; an empty table gives no rows.
     """
     pack = partial(
         _pack,
@@ -168,4 +169,4 @@ def piece_digests(pieces: DataFrame) -> DataFrame:
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all ``documents`` into sequences of 2048 tokens, with the ids of the library's default."""
-    return piece_digests(pack_documents(table(spark, sf_dir, "documents"), specials_are_text=False))
+    return piece_digests(pack_documents(table(spark, sf_dir, "documents")))

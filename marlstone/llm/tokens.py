@@ -80,8 +80,7 @@ class WordEncoder:
             self.forget()
         ids = self._ids
         seen = {w for words in split for w in words if w not in ids}
-        # a single mark after a letter or digit is a token of its own
-        ended = {w for w in seen if w[-1] in self.ENDS and len(w) > 1 and w[-2].isalnum()}
+        ended = {w for w in seen if w[-1] in self.ENDS and self._ends_alone(w)}
         new = {w[:-1] if w in ended else w for w in seen}.union(self.ENDS).difference(ids)
         alone = [w for w in new if len(w) > self.MAX_CHARS or self.MARK in w or self._mark is None]
         new.difference_update(alone)
@@ -124,9 +123,20 @@ class WordEncoder:
         plain = set(letters)
         yield from self._encode_joined([w for w in words if w not in plain], self._tokenizer, f" {self.MARK} ")
 
+    @staticmethod
+    def _ends_alone(word: str) -> bool:
+        """Whether the last mark of ``word`` is a token of its own: it follows a letter or digit that stays one.
+
+        Lower-casing may end a letter in a combining mark, which would join the last one, and tables
+        of letters differ in what is new; so only letters of old Latin blocks count.
+        """
+        before = word[-2:-1]
+        return before < "\u0250" and before.isalnum() and len(before.lower()) == 1
+
     @staticmethod
     def _is_plain(word: str) -> bool:
-        return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+        """Whether ``word`` is of lower-case letters that all tables of letters know: Latin, Greek and Cyrillic ones."""
+        return word.isalpha() and max(word) < "\u0500" and word == word.lower() and unicodedata.is_normalized("NFC", word)
 
     def _encode_joined(self, words: list[str], tokenizer, between: str) -> Iterable[tuple[str, bytes]]:
         parts = [words[at : at + self.JOINED] for at in range(0, len(words), self.JOINED)]

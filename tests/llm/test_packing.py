@@ -1,5 +1,6 @@
 """Packing: every id in one piece, no overlap, little padding, encoding as by the tokenizer."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -13,7 +14,6 @@ from marlstone.llm.tokens import default_vocabulary, encoder
 
 def plain_ids(texts):
     tokenizer = Tokenizer.from_file(default_vocabulary())
-    tokenizer.encode_special_tokens = True
     return [np.array([*e.ids, 1], dtype="<u4") for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -70,7 +70,7 @@ def test_costs_are_balanced():
 
 
 def test_encoder_equals_tokenizer_after_forgetting():
-    words = encoder(default_vocabulary())
+    words = encoder(default_vocabulary(), False)
     texts = ["Some WORDS, some words. it's", "DON'T stop!", "tab\tand\nline  two", "½² 3.5 a.b ..."]
     for _ in range(2):
         assert [x + b"\x01\0\0\0" for x in words.encode(texts)] == [x.tobytes() for x in plain_ids(texts)]
@@ -94,3 +94,16 @@ def test_marks_of_the_vocabulary_get_the_ids_of_the_plain_call(spark, tmp_path):
     check(op7_packing(spark, str(tmp_path)).collect(), ids, 2048, True)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     check(corpus_pipeline.pack(spark, docs, str(tmp_path)).collect(), ids, 2048, False)
+
+
+#: What joins, splits, folds or composes with its neighbours, and what does not.
+PARTS = [*"abcXYZ019 '.,;:!?-_/\n\t\r\x0b\x01\x00\x85\xa0\u2003\u0301\u0307\u0308iI\u0130\u0131\u00df\u0149\u01f0\u03c3\u03c2\u03a3\u015f\u00b2\u00bd\u2177\u0663\u304b\u3099\uac00\u1100\u1161\U0001f600\u200d\u212b\ua7d0"]
+PARTS += ["'s", "'re", "'LL", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "\u0130,", "A\u030a", "the", "The", "don't", "word,", "e.g."]
+
+
+def test_random_odd_strings_get_the_ids_of_the_plain_call():
+    random_ = random.Random(5)
+    texts = ["KAR\u015eI \u0130, ve", *("".join(random_.choices(PARTS, k=random_.randint(1, 40))) for _ in range(5000))]
+    words = encoder(default_vocabulary(), False)
+    got = [x + b"\x01\0\0\0" for at in range(0, len(texts), 500) for x in words.encode(texts[at : at + 500])]
+    assert got == [x.tobytes() for x in plain_ids(texts)]
