@@ -80,14 +80,14 @@ def skew_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "inn
 
 
 def not_in(df: DataFrame, column: str, others: DataFrame, other: str) -> DataFrame:
-    """Rows whose ``column`` is not in ``others``, by SQL's rule for NOT IN: a null on either side hides rows."""
+    """Rows whose ``column`` is not in ``others``, by SQL's rule for NOT IN: a null on either side hides rows.
+
+    One plan: an ordinary anti-join, and one row that tells whether ``others`` is empty or holds nulls.
+    """
     values = others.select(F.col(other).alias("_value"))
-    nulls = values.filter("_value IS NULL").limit(1).count() > 0
-    if nulls:
-        return df.limit(0)
-    if values.limit(1).count() == 0:
-        return df
-    return df.filter(F.col(column).isNotNull()).join(values, F.col(column) == F.col("_value"), "left_anti")
+    told = values.agg(F.count(F.lit(1)).alias("_all"), F.count("_value").alias("_known"))
+    left = df.join(values, F.col(column) == F.col("_value"), "left_anti").crossJoin(F.broadcast(told))
+    return left.filter((F.col("_all") == 0) | ((F.col("_all") == F.col("_known")) & F.col(column).isNotNull())).drop("_all", "_known")
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:

@@ -57,15 +57,15 @@ def aggregate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("event_type").agg(F.count(F.lit(1)).alias("users"), F.sum("m").alias("n"))
 
 
-@query("SELECT event_type, max(value) AS most, min(value) AS least FROM events GROUP BY event_type")
+@query("SELECT event_type, count(DISTINCT value) AS kinds, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def aggregate_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = load(spark, sf_dir, "events").select("event_type", "event_id", "value")
-    return two_stage(
-        events,
-        ["event_type"],
-        {"most": F.max("value"), "least": F.min("value")},
-        {"most": F.max("most"), "least": F.min("least")},
-    )
+    """Distinct counts of few, hot types: equal values share a salt, so the counts of salts add up."""
+
+    def distinct(column: str, name: str) -> DataFrame:
+        pairs = load(spark, sf_dir, "events").select("event_type", column)
+        return two_stage(pairs, ["event_type"], {name: F.count_distinct(column)}, {name: F.sum(name)})
+
+    return distinct("value", "kinds").join(distinct("user_id", "users"), "event_type")
 
 
 @query("SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) AS n FROM orders GROUP BY o_orderpriority")
@@ -116,7 +116,8 @@ def aggregate_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STATS = """
 SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS correlation,
        round(stddev_samp(l_quantity), 6) AS deviation, round(var_pop(l_discount), 9) AS variance,
-       round(covar_samp(l_quantity, l_tax), 6) AS covariance, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope
+       round(covar_samp(l_quantity, l_tax), 6) AS covariance, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
+       round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2
 FROM lineitem GROUP BY l_returnflag
 """
 
@@ -175,7 +176,10 @@ def unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.unpivot("p_partkey", ["size", "price"], "measure", "value")
 
 
-@query("SELECT o_orderstatus, true AS close, true AS held FROM orders GROUP BY o_orderstatus")
+@query("""
+SELECT o_orderstatus, count(DISTINCT o_custkey) AS exact, quantile_cont(o_totalprice, 0.5) AS median, true AS close, true AS held
+FROM orders GROUP BY o_orderstatus
+""")
 def aggregate_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate distinct counts and quantiles, judged against the exact ones."""
     grouped = load(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(
@@ -186,6 +190,8 @@ def aggregate_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return grouped.select(
         "o_orderstatus",
+        "exact",
+        "median",
         (F.abs(F.col("about") - F.col("exact")) <= 0.1 * F.col("exact") + 2).alias("close"),
         (F.abs(F.col("middle") - F.col("median")) <= 0.05 * F.col("median")).alias("held"),
     )

@@ -140,13 +140,13 @@ def join_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT p_partkey, p_retailprice FROM part p
-WHERE p_retailprice > (SELECT avg(p_size) * 50 FROM part q WHERE q.p_brand = p.p_brand)
+WHERE p_retailprice > (SELECT avg(p_size) * 38 FROM part q WHERE q.p_brand = p.p_brand)
 """)
 def join_correlated_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark, sf_dir, "part")
     return spark.sql(
         "SELECT p_partkey, p_retailprice FROM part p"
-        " WHERE p_retailprice > (SELECT avg(p_size) * 50 FROM part q WHERE q.p_brand = p.p_brand)"
+        " WHERE p_retailprice > (SELECT avg(p_size) * 38 FROM part q WHERE q.p_brand = p.p_brand)"
     )
 
 

@@ -97,11 +97,25 @@ def stream_dedup_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(once, "dedup").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS BIGINT) > 0 AS kept FROM orders")
+@query("""
+SELECT count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent, CAST(0 AS BIGINT) AS others, true AS a_tenth FROM orders
+""")
 def sample_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stratified sample: all urgent orders, a tenth of the low ones."""
-    sampled = load(spark, sf_dir, "orders").sampleBy("o_orderpriority", {"1-URGENT": 1.0, "5-LOW": 0.1}, seed=1)
-    return sampled.agg((F.count_if(F.col("o_orderpriority") == "1-URGENT") > 0).alias("kept"))
+    orders = load(spark, sf_dir, "orders").select("o_orderpriority")
+    sampled = orders.sampleBy("o_orderpriority", {"1-URGENT": 1.0, "5-LOW": 0.1}, seed=1)
+    low = F.count_if(F.col("o_orderpriority") == "5-LOW")
+    all_low = orders.agg(low.alias("all_low"))
+    counts = sampled.agg(
+        F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
+        low.alias("low"),
+        F.count_if(~F.col("o_orderpriority").isin("1-URGENT", "5-LOW")).alias("others"),
+    )
+    # one row each; five standard deviations about a tenth
+    spread = 5 * F.sqrt(F.col("all_low") * 0.09)
+    return counts.crossJoin(all_low).select(
+        "urgent", "others", (F.abs(F.col("low") - 0.1 * F.col("all_low")) <= spread).alias("a_tenth")
+    )
 
 
 @query("SELECT DISTINCT event_type AS item FROM events")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.columns import json_int
 from marlstone.plans.registry import query
-from marlstone.sources.tables import as_lines, file_sizes, load, register, written
+from marlstone.sources.tables import as_lines, binary_files, load, register, written
 
 _SHIPPED = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
 
@@ -46,10 +46,12 @@ def scan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_lines(load(spark, sf_dir, "customer"), "c_name")
 
 
-@query("SELECT 'PAR1' AS magic, CAST(1 AS BIGINT) AS kinds FROM customer LIMIT 1")
+@query("SELECT CAST(sum(strlen(c_name) + 1) AS BIGINT) AS bytes, count(*) AS lines FROM customer")
 def scan_binary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = file_sizes(load(spark, sf_dir, "customer"))
-    return files.groupBy("magic").agg(F.count_distinct("magic").alias("kinds"))
+    """Names written as text files, and these read as binary: their bytes and line ends."""
+    files = binary_files(load(spark, sf_dir, "customer"), "c_name")
+    ends = F.length("content") - F.length(F.replace(F.col("content").cast("string"), F.lit("\n"), F.lit("")))
+    return files.agg(F.sum("length").alias("bytes"), F.sum(ends).cast("long").alias("lines"))
 
 
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
@@ -86,10 +88,10 @@ def project_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1%' AND regexp_matches(p_type, '^[A-Z]+')")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%ring%' AND regexp_matches(p_type, '^(SMALL|LARGE|PROMO)$')")
 def filter_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = load(spark, sf_dir, "part")
-    return parts.filter(F.col("p_name").like("%1%") & F.col("p_type").rlike("^[A-Z]+")).select("p_partkey", "p_name")
+    return parts.filter(F.col("p_name").like("%ring%") & F.col("p_type").rlike("^(SMALL|LARGE|PROMO)$")).select("p_partkey", "p_name")
 
 
 @query("""

@@ -47,9 +47,11 @@ def as_lines(df: DataFrame, column: str) -> DataFrame:
     return df.sparkSession.read.text(path)
 
 
-def file_sizes(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet files, and these read as binary: path, length and first bytes."""
+def binary_files(df: DataFrame, column: str) -> DataFrame:
+    """A string column written as text files, and these read as binary: path, length, content.
+
+    Spark reads a binary file whole, so each of these holds a bounded number of lines.
+    """
     path = new_path(df.sparkSession, "written-binary")
-    df.write.parquet(path)
-    read = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    return read.selectExpr("path", "length", "cast(substring(content, 1, 4) AS string) AS magic")
+    df.select(column).write.option("maxRecordsPerFile", 1_000_000).text(path)
+    return df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length", "content")

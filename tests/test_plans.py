@@ -75,3 +75,35 @@ def test_a_hot_user_is_dealt_in_slices(spark, tmp_path):
     got = QUERIES["udf_grouped_map"](spark, str(tmp_path)).toPandas().set_index("event_id")["change"].sort_index()
     first = values.sort_values("ts").groupby("user_id")["value"].transform("first").sort_index()
     assert (got.to_numpy() == (values["value"] - first).to_numpy()).all()
+
+
+#: Query: how its rows must follow each other.
+ORDERED = {
+    "top_k": "ORDER BY o_totalprice DESC, o_orderkey",
+    "limit_offset": "ORDER BY o_orderdate, o_orderkey",
+    "sort_nulls": "ORDER BY status ASC NULLS LAST, o_orderkey",
+    "sort_ranges": "ORDER BY c_acctbal, c_custkey",
+}
+
+
+@pytest.mark.parametrize("name", sorted(ORDERED))
+def test_sorted_rows_come_in_order(spark, small, duck, name):
+    got = QUERIES[name](spark, small)
+    want = duck.execute(f"SELECT * FROM ({ORACLE_SQL[name]}) {ORDERED[name]}").df()
+    assert [tuple(map(plain, r)) for r in got.collect()] == [tuple(map(plain, r)) for r in want[got.columns].itertuples(index=False)]
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    from marlstone.sources import shared
+
+    class Context:
+        applicationId, master = "app", "spark://somewhere:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session())
