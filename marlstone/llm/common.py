@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.sources.shared import shared_dir, staged
+from marlstone.sources.shared import new_path, remove, shared_dir, staged
 from marlstone.sources.tables import load as table
 
-__all__ = ["bounded_batches", "shared_dir", "sized", "staged", "table"]
+__all__ = ["bounded_batches", "new_path", "private", "remove", "shared_dir", "sized", "staged", "table"]
 
 
 def sized(keys: DataFrame, most_rows: int = 500_000) -> DataFrame:
@@ -19,6 +19,14 @@ def sized(keys: DataFrame, most_rows: int = 500_000) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= most_rows else keys
 
 
+def private(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bounded_batches(df: DataFrame, most: str = "4m") -> DataFrame:
     """``df``, after the session's Arrow batches have been bounded to a few MB of texts.
 

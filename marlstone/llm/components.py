@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import staged
+from marlstone.llm.common import new_path, remove, staged
+
+#: Tasks among which the neighbours of one node are dealt.
+SALTS = 16
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -13,10 +16,15 @@ def _smallest(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Tie every larger neighbour of a node to the smallest node of its neighbourhood."""
+    """Tie every larger neighbour of a node to the smallest node of its neighbourhood.
+
+    The neighbours of a node may be a third of all nodes, so they are dealt by salt, and the
+    smallest one, a narrow row, is repeated for each salt.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _smallest(both).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = _smallest(both).select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return salted.join(least, ["u", "salt"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -31,17 +39,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until the edges form stars around the smallest
     nodes; their number never grows, and the rounds grow with the logarithm of the longest chain.
-    A node with very many neighbours only meets partial minima and a join that Spark can split.
-    Loops and repeated edges are fine; edges with a null end are left out.
+    Each round is a table of its own, and the one before is deleted. Loops and repeated edges are
+    fine; edges with a null end are left out.
     """
+    spark = edges.sparkSession
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    current = staged(
-        edges.filter("a != b").select(high.alias("u"), low.alias("v")).distinct(), "components"
-    )
+    path = new_path(spark, "components")
+    current = staged(edges.filter("a != b").select(high.alias("u"), low.alias("v")).distinct(), "components", path)
     sign = F.sum(F.xxhash64("u", "v").cast("decimal(20, 0)"))
     seen = current.agg(F.count(F.lit(1)), sign).first()
     while True:
-        current = staged(_small_star(_large_star(current)), "components")
+        earlier, path = path, new_path(spark, "components")
+        current = staged(_small_star(_large_star(current)), "components", path)
+        remove(spark, earlier)
         now = current.agg(F.count(F.lit(1)), sign).first()
         if now == seen:
             break
