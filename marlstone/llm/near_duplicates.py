@@ -367,8 +367,8 @@ def near_duplicates(
     stars = _stars(shared, classes, chunks, percent, cell_docs, cell_shingles)
     component = connected_components(_confirmed_links(read, classes, stars, words, percent))
 
-    # keys whose holders are not all connected yet
-    held = shared.select(F.col("key").alias("group"), "node").join(component, "node", "left")
+    # keys whose holders are not all connected yet; each has met the first holder, so that one needs no more
+    held = shared.filter("node != first").select(F.col("key").alias("group"), "node").join(component, "node", "left")
     held = held.select("group", "node", F.coalesce("component", "node").alias("comp"))
     apart = held.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("group")
     left = staged(held.join(apart, "group").join(classes.select("node", "signature", "n_shingles"), "node"), "near-left")
