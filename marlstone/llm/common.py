@@ -11,12 +11,15 @@ from marlstone.sources.tables import load as table
 __all__ = ["bounded_batches", "new_path", "private", "remove", "shared_dir", "sized", "staged", "table"]
 
 
-def sized(keys: DataFrame, most_rows: int = 500_000) -> DataFrame:
-    """Narrow ``keys`` for a join: sent to all tasks up to ``most_rows`` rows, else left to a shuffle.
+def sized(keys: DataFrame, most_rows: int = 500_000, most_bytes: int = 64_000_000) -> DataFrame:
+    """Narrow ``keys`` for a join: sent to all tasks up to ``most_rows`` rows and ``most_bytes``, else left to a shuffle.
 
-    The rows are counted first, so give a written table.
+    Rows and bytes are counted first, so give a written table.
     """
-    return F.broadcast(keys) if keys.count() <= most_rows else keys
+    held = [F.octet_length(f.name) for f in keys.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    bytes_held = F.sum(sum((F.coalesce(x, F.lit(0)).cast("long") for x in held), F.lit(8 * len(keys.columns)).cast("long")))
+    rows, size = keys.agg(F.count(F.lit(1)), F.coalesce(bytes_held, F.lit(0))).first()
+    return F.broadcast(keys) if rows <= most_rows and size <= most_bytes else keys
 
 
 def private(df: DataFrame, name: str) -> str:

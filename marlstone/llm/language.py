@@ -96,16 +96,20 @@ def train(
     bits: int = 16,
     docs_a_language: int = 2_000,
     smoothing: float = 0.1,
+    most_languages: int = 256,
 ) -> LanguageModel:
     """Fit the model on rows of (doc_id, text, ``label``).
 
     Of each language about ``docs_a_language`` documents are used, whole, chosen by a hash of the
-    doc_id; languages with fewer give all. What reaches the driver is one count for each language
-    and bucket, so its size is bounded by languages times 2 ** ``bits``. Rows without text or label
-    teach nothing; without any such row the model knows no language.
+    doc_id; languages with fewer give all. Of labels, the ``most_languages`` with most documents are
+    learnt (ties: the one that sorts first), so dirty labels can't fill the driver: what reaches it is one
+    count for each of these and bucket, at most ``most_languages`` times 2 ** ``bits``. Rows without text
+    or label teach nothing; without any such row the model knows no language. Repeated rows count as
+    often as they occur, and columns of other names play no part.
     """
     labelled = bounded_batches(docs).select("doc_id", "text", F.col(label).alias("lang")).filter("text is not null and lang is not null")
-    prior = {r.lang: r["docs"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).collect()}
+    known = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), "lang").limit(most_languages)
+    prior = {r.lang: r["docs"] for r in known.collect()}
     if not prior:
         return LanguageModel([], np.zeros(0), np.zeros((1 << bits, 0)), tuple(sizes), bits)
     shares = F.create_map(*[F.lit(x) for lang, n in prior.items() for x in (lang, min(1.0, docs_a_language / n))])
@@ -156,21 +160,18 @@ def predict(docs: DataFrame, model: LanguageModel, unknown: str = "und") -> Data
     null or hold no letter are ``unknown`` with score 0, as is every text if the model knows no
     language. Ties go to the language that sorts first.
     """
-    return predict_beside(docs.select("doc_id", "text"), model, unknown).select("doc_id", "lang_pred", "score")
+    return predict_beside(docs.select("doc_id", "text"), model, "found", unknown).select("doc_id", "found.*")
 
 
-def predict_beside(docs: DataFrame, model: LanguageModel, unknown: str = "und") -> DataFrame:
-    """``docs`` with the columns lang_pred and score; see :func:`predict`."""
+def predict_beside(docs: DataFrame, model: LanguageModel, into: str, unknown: str = "und") -> DataFrame:
+    """``docs`` with one more column ``into``, a struct of lang_pred and score; see :func:`predict`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def language(texts: pd.Series) -> pd.DataFrame:
         return _predict(texts, shared.value, unknown)
 
-    found = language(F.col("text"))
-    return bounded_batches(docs).withColumn("_found", found).select(
-        *docs.columns, F.col("_found.lang_pred").alias("lang_pred"), F.col("_found.score").alias("score")
-    )
+    return bounded_batches(docs).select("*", language(F.col("text")).alias(into))
 
 
 def _predict(texts: pd.Series, model: LanguageModel, unknown: str) -> pd.DataFrame:

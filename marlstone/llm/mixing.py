@@ -140,10 +140,25 @@ def mix_sources(
         .withColumn("epoch", F.explode(epochs))
         .withColumn("order", _digest(seed, F.col("source"), F.col("epoch"), F.col("block")))
     )
-    by_epoch = W.partitionBy("source", "epoch").orderBy("order", "block")
+    # a prefix scan in two steps, so that no task holds all blocks of a source: stretches of the order, then blocks
+    sums = staged(sums.withColumn("stretch", F.substring("order", 1, 2)), "mix-blocks")
+    stretches = W.partitionBy("source", "epoch").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    bases = (
+        sums.groupBy("source", "epoch", "stretch")
+        .agg(F.sum("block_tokens").alias("stretch_tokens"), F.count(F.lit(1)).alias("stretch_blocks"))
+        .select(
+            "source",
+            "epoch",
+            "stretch",
+            F.coalesce(F.sum("stretch_tokens").over(stretches), F.lit(0)).alias("base_tokens"),
+            F.coalesce(F.sum("stretch_blocks").over(stretches), F.lit(0)).alias("base_blocks"),
+        )
+    )
+    by_epoch = W.partitionBy("source", "epoch", "stretch").orderBy("order", "block")
     ranked = (
-        sums.withColumn("block_rank", F.row_number().over(by_epoch) - 1)
-        .withColumn("before", F.sum("block_tokens").over(by_epoch) - F.col("block_tokens"))
+        sums.join(bases, ["source", "epoch", "stretch"])
+        .withColumn("block_rank", F.col("base_blocks") + F.row_number().over(by_epoch) - 1)
+        .withColumn("before", F.col("base_tokens") + F.sum("block_tokens").over(by_epoch) - F.col("block_tokens"))
         .withColumn("limit", F.when(F.col("epoch") == F.col("full"), F.col("rest")).otherwise(F.col("source_tokens")))
         .withColumn("whole_block", F.col("epoch") < F.col("full"))
         .filter("whole_block OR before < limit")

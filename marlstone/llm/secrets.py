@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import table
+from marlstone.llm.common import private, staged, table
 
 #: kind: (pattern, group that holds the secret, least length of that group), in the order of reports. Fixed values.
 KINDS = {
@@ -31,14 +31,15 @@ CANDIDATE = (
 )
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 #: encoding: (pattern of the whole candidate, alphabet in order, least chance that two characters
-#: of a string which is no secret are equal). The first that fits counts; plain numbers fit none.
+#: of a plain string are equal). The first that fits counts; plain numbers fit none. The chances are
+#: those at which the p-values hold for words put together in the ways that names are.
 ENCODINGS = {
     "hex": (r"^(?=.*[0-9])(?=.*[a-fA-F])([0-9a-f]+|[0-9A-F]+)$", _DIGITS + "abcdef", 0.125),
     "base32": (r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*$", _LOWER + "234567", 0.065),
     "base36": (r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", _DIGITS + _LOWER, 0.06),
-    "base64": (r"^(?=.*[A-Za-z])[A-Za-z0-9+/_-]+=*$", _LOWER.upper() + _LOWER + _DIGITS + "+/", 0.055),
+    "base64": (r"^(?=.*[A-Za-z])[A-Za-z0-9+/_-]+=*$", _LOWER.upper() + _LOWER + _DIGITS + "+/", 0.044),
 }
-#: Most changes of character class, for each pair of neighbours, in a string which is no secret.
+#: Most changes of character class, for each pair of neighbours, in a plain string.
 TEXT_CHANGES = 0.15
 #: Least correlation between neighbours in a string that counts on or repeats.
 TEXT_CORRELATION = 0.7
@@ -106,25 +107,48 @@ def _placed(cut: Column, block: int = 512) -> Column:
     return _let(lengths(cut["between"]), lambda b: _let(lengths(cut["matches"]), lambda m: spans(b, m)))
 
 
-def _uniformity(symbols: Column, plain: Column, chance: Column) -> Column:
-    """Chi-squared test of the alphabet: the statistic grows with the number of equal pairs.
+def _normal_nats(z: Column) -> Column:
+    """-ln of the chance that a standard normal exceeds ``z``, from below; 0 for what is no excess.
 
-    A string that is no secret has at least ``chance`` of an equal pair; that so few came up then
-    has a chance below exp(-evidence), the Chernoff bound of a Poisson count.
+    The chance is at most the density times 4 / (3 z + sqrt(z * z + 8)), and near that.
+    """
+    return _let(
+        z,
+        lambda x: F.when(x <= 0, 0.0).otherwise(
+            x * x / 2 + math.log(math.sqrt(2 * math.pi)) - F.ln(4 / (3 * x + F.sqrt(x * x + 8)))
+        ),
+    )
+
+
+def _uniformity(symbols: Column, plain: Column, letters: Column, chance: Column) -> Column:
+    """Chi-squared test of the alphabet: -ln of the p-value under "two characters are equal as often as in plain strings".
+
+    The statistic is Pearson's, of the counts of all ``letters`` against equal ones. Of a plain string
+    it has a noncentral chi-squared distribution with letters - 1 degrees of freedom, whose
+    noncentrality follows from ``chance``; a random string falls into its lower tail, which is
+    taken by the normal distribution of the cube root (Abdel-Aty).
     """
     n = F.size(symbols).cast("double")
     times = F.transform(F.array_distinct(symbols), lambda x: n - F.length(F.replace(plain, x, F.lit(""))))
-    pairs = F.aggregate(times, F.lit(0.0), lambda a, x: a + x * (x - 1) / 2)
+    squares = F.aggregate(times, F.lit(0.0), lambda a, x: a + x * x)
+    free, away = letters - 1, (n - 1) * (letters * chance - 1)
     return _let(
-        F.struct(pairs.alias("seen"), (n * (n - 1) / 2 * chance).alias("due")),
-        lambda s: F.when(s["seen"] >= s["due"], 0.0)
-        .when(s["seen"] == 0, s["due"])
-        .otherwise(s["due"] - s["seen"] + s["seen"] * F.ln(s["seen"] / s["due"])),
+        F.struct(
+            (letters / n * squares - n).alias("statistic"),
+            (free + away).alias("mean"),
+            (2 * (1 + away / (free + away)) / (9 * (free + away))).alias("spread"),
+        ),
+        lambda s: _normal_nats(
+            (1 - s["spread"] - F.pow(s["statistic"] / s["mean"], F.lit(1 / 3))) / F.sqrt(s["spread"])
+        ),
     )
 
 
 def _runs(symbols: Column) -> Column:
-    """Runs test on character classes: the Chernoff bound of so many changes in a text."""
+    """Runs test on character classes: -ln of the p-value under "neighbours are of different classes as seldom as in plain strings".
+
+    Runs are changes plus one; the chance of so many is bounded by Chernoff's bound of a binomial.
+    """
     kinds = F.transform(
         symbols,
         lambda x: F.when(x.between("0", "9"), 0).when(x.between("a", "z"), 1).when(x.between("A", "Z"), 2).otherwise(3),
@@ -147,7 +171,10 @@ def _runs(symbols: Column) -> Column:
 
 
 def _serial(symbols: Column, alphabet: Column) -> Column:
-    """Lag-1 serial correlation of ranks in the alphabet, by Fisher's z against a sequence."""
+    """Serial correlation of ranks in the alphabet at lag 1: -ln of the p-value under "the string counts on or repeats".
+
+    Fisher's z of the correlation is normal with variance 1 / (pairs - 3).
+    """
     n = F.size(symbols) - 1
     ranks = F.transform(symbols, lambda x: F.instr(alphabet, x).cast("long"))
 
@@ -173,7 +200,7 @@ def _serial(symbols: Column, alphabet: Column) -> Column:
     return _let(
         _let(_let(ranks, sums), moments),
         lambda r: F.when(r >= TEXT_CORRELATION, 0.0).otherwise(
-            (n - 2) * F.pow(z - F.ln((1 + r) / (1 - r)) / 2, F.lit(2.0)) / 2
+            _normal_nats((z - F.ln((1 + r) / (1 - r)) / 2) * F.sqrt((n - 3).cast("double")))
         ),
     )
 
@@ -189,9 +216,9 @@ def _first(column: Column, values: list) -> Column:
 def evidence(token: Column) -> Column:
     """Evidence in whole steps of 1 / STEPS nats that a candidate is random; 0 without an encoding.
 
-    Each test takes "this is no secret" for its hypothesis and bounds the chance of what it saw by
-    exp(-nats). The candidate has to refute all of them, so the least evidence counts; all of it
-    grows with length.
+    Each test has a hypothesis of its own on how a string is no secret, and evidence is -ln of its
+    p-value. The candidate has to refute all of them, so the least evidence counts (the largest
+    p-value, as for any union of hypotheses); all of it grows with length.
     """
     alphabet = _first(token, [F.lit(a) for _, a, _ in ENCODINGS.values()])
     chance = _first(token, [F.lit(x) for _, _, x in ENCODINGS.values()])
@@ -202,7 +229,7 @@ def evidence(token: Column) -> Column:
             _let(
                 F.regexp_extract_all(e["plain"], F.lit("."), F.lit(0)),
                 lambda c: F.least(
-                    _uniformity(c, e["plain"], e["chance"]),
+                    _uniformity(c, e["plain"], F.length(e["abc"]).cast("double"), e["chance"]),
                     _runs(c),
                     _serial(
                         F.when(F.length(e["abc"]) < 64, F.transform(c, lambda x: F.lower(x))).otherwise(c), e["abc"]
@@ -219,29 +246,29 @@ def _stratum(length: Column) -> Column:
     return sum((F.when(length >= x, 1).otherwise(0) for x in STRATA), F.lit(0))
 
 
-def _numbered(kind: str, nth: int) -> Column:
+def _numbered(placed: str, kind: str, nth: int) -> Column:
     """Spans of a kind whose secret is long enough, with the kind's number."""
-    least = KINDS[kind][2]
-    long_enough = F.filter(f"_in_{kind}", lambda s: F.char_length(s["value"]) >= least)
+    long_enough = F.filter(placed, lambda s: F.char_length(s["value"]) >= KINDS[kind][2])
     return F.transform(
         long_enough, lambda s: F.struct(s["start"].alias("start"), F.lit(nth).alias("kind"), s["end"].alias("end"))
     )
 
 
-def with_candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_base``, spans of known forms, and ``_free``, the candidates apart from them."""
+def with_candidates(docs: DataFrame, columns: list[str], into: str) -> DataFrame:
+    """``columns`` of ``docs`` and a struct ``into`` of ``base``, spans of known forms, and ``free``, the candidates apart from them."""
     text = F.coalesce("text", F.lit(""))
     patterns = {kind: (pattern, group) for kind, (pattern, group, _) in KINDS.items()} | {RANDOM: (CANDIDATE, 0)}
-    cut = docs.withColumns({f"_cut_{kind}": _cut(text, *how) for kind, how in patterns.items()})
-    placed = cut.withColumns(
-        {f"_in_{kind}": F.when(F.col(f"_cut_{kind}").isNotNull(), _placed(F.col(f"_cut_{kind}"))) for kind in patterns}
-    )
+    # names of ours, which no column of the documents has
+    cuts = {kind: private(docs, f"cut_{kind}") for kind in patterns}
+    placed = {kind: private(docs, f"in_{kind}") for kind in patterns}
+    base = private(docs, "base")
+    rows = docs.withColumns({cuts[kind]: _cut(text, *how) for kind, how in patterns.items()})
+    rows = rows.withColumns({placed[kind]: F.when(F.col(cut).isNotNull(), _placed(F.col(cut))) for kind, cut in cuts.items()})
     none = F.expr("cast(array() AS array<struct<start: bigint, kind: int, end: bigint>>)")
-    known = [F.coalesce(_numbered(kind, nth), none) for nth, kind in enumerate(KINDS)]
-    based = placed.withColumn("_base", F.array_sort(F.concat(*known)))
+    known = [F.coalesce(_numbered(placed[kind], kind, nth), none) for nth, kind in enumerate(KINDS)]
     free = F.filter(
-        f"_in_{RANDOM}",
-        lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+        placed[RANDOM],
+        lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
     tested = F.transform(
         free,
@@ -253,9 +280,8 @@ def with_candidates(docs: DataFrame) -> DataFrame:
             evidence(s["value"]).alias("steps"),
         ),
     )
-    return based.withColumn("_free", F.when(F.col(f"_in_{RANDOM}").isNotNull(), tested)).select(
-        *docs.columns, "_base", "_free"
-    )
+    found = F.struct(F.col(base).alias("base"), F.when(F.col(placed[RANDOM]).isNotNull(), tested).alias("free"))
+    return rows.withColumn(base, F.array_sort(F.concat(*known))).select(*columns, found.alias(into))
 
 
 def false_discovery_steps(candidates: DataFrame, rate: float) -> dict[int, int]:
@@ -277,8 +303,8 @@ def false_discovery_steps(candidates: DataFrame, rate: float) -> dict[int, int]:
     return {r.stratum: r.steps for r in least.collect()}
 
 
-def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
-    """``docs`` with their secrets: ``base`` and ``spans``, arrays of (start, kind, end).
+def find_secrets(docs: DataFrame, rate: float = 0.01, columns: list[str] | None = None, into: str = "secrets") -> DataFrame:
+    """``columns`` of ``docs`` (all by default) and their secrets, a struct ``into`` of ``base`` and ``spans``, arrays of (start, kind, end).
 
     ``base`` has the matches of KINDS, numbered in that order; ``spans`` adds, as the next number,
     candidates that look random: runs of at least 20 characters of an encoding, apart from base
@@ -286,15 +312,19 @@ def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     of their stratum of lengths over the whole corpus. Places are code points, end exclusive; both
     arrays are sorted by start, then kind.
 
-    All of it is DataFrame expressions: a first pass makes the histogram of evidence, which is of
-    fixed size, and a second one reports. Nothing is shuffled but distinct candidates. Null texts
-    count as empty; ids play no part, so null and repeated ones are fine; an empty table stays so.
+    All of it is DataFrame expressions: one pass over the texts writes base spans and candidates
+    with ``columns``; the histogram of evidence, which is of fixed size, and the report are made from
+    what it wrote. Nothing is shuffled but distinct candidates. Null texts count as empty; texts of any
+    length are searched whole; ids play no part, so null and repeated ones are fine; columns of any
+    other name stay as they are, but ``into`` must be new; an empty table stays so.
     """
-    scanned = with_candidates(docs)
-    candidates = with_candidates(docs.select("text")).select(F.inline("_free"))
-    steps = false_discovery_steps(candidates, rate)
+    columns = docs.columns if columns is None else columns
+    if into.lower() in {c.lower() for c in columns}:
+        raise ValueError(f"there is a column {into} already")
+    scanned = staged(with_candidates(docs, columns, into), "secrets-candidates")
+    steps = false_discovery_steps(scanned.select(F.inline(f"{into}.free")), rate)
     found = F.filter(
-        "_free",
+        f"{into}.free",
         lambda s: F.coalesce(
             *[F.when(s["stratum"] == stratum, s["steps"] >= least) for stratum, least in steps.items()], F.lit(False)
         ),
@@ -304,11 +334,9 @@ def find_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
         lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), s["end"].alias("end")),
     )
     none = F.expr("cast(array() AS array<struct<start: bigint, kind: int, end: bigint>>)")
-    return scanned.select(
-        *docs.columns,
-        F.col("_base").alias("base"),
-        F.array_sort(F.concat("_base", F.coalesce(added, none))).alias("spans"),
-    )
+    base = F.col(f"{into}.base")
+    spans = F.array_sort(F.concat(base, F.coalesce(added, none)))
+    return scanned.select(*columns, F.struct(base.alias("base"), spans.alias("spans")).alias(into))
 
 
 def spans_text(spans: Column) -> Column:
@@ -338,22 +366,23 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Find the secrets in every text of ``documents``."""
-    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = lambda nth: F.size(F.filter("base", lambda s: s["kind"] == nth)).cast("long")
+    found = find_secrets(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    base, spans = F.col("secrets.base"), F.col("secrets.spans")
+    count = lambda nth: F.size(F.filter(base, lambda s: s["kind"] == nth)).cast("long")
     return found.select(
         "doc_id",
         *[count(nth).alias(f"n_{kind}") for nth, kind in enumerate(KINDS)],
-        F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
-        spans_text(F.col("spans")).alias("spans"),
+        F.sha2(spans_text(base), 256).alias("base_sha256"),
+        spans_text(spans).alias("spans"),
     )
 
 
-def _cut_sql(nth: int, kind: str, pattern: str, group: int, least: int) -> str:
-    quoted = pattern.replace("'", "''")
+def _cut_sql(nth: int, kind: str, pattern: str, group: int, least: int, test: str | None = None) -> str:
+    quoted, test = pattern.replace("'", "''"), (test or pattern).replace("'", "''")
     return f"""
     SELECT row_id, {nth} AS nth, '{kind}' AS kind, {least} AS least, regexp_split_to_array(text, '{quoted}') AS between,
            regexp_extract_all(text, '{quoted}', 0) AS matches, regexp_extract_all(text, '{quoted}', {group}) AS secrets
-    FROM docs WHERE regexp_matches(text, '{quoted}')"""
+    FROM docs WHERE regexp_matches(text, '{test}')"""
 
 
 def _either_case(words: str) -> str:
@@ -366,7 +395,7 @@ _SQL_CUTS = " UNION ALL ".join(
         _cut_sql(0, "assign", KINDS["assign"][0].replace("?i:password|passwd|secret|token|api_?key", "?:" + _either_case("password|passwd|secret|token|api_?key")), 1, 6),
         _cut_sql(1, "access", KINDS["access"][0], 0, 20),
         _cut_sql(2, "hex", "[0-9a-f]{24,}", 0, 24),
-        _cut_sql(3, RANDOM, "[A-Za-z0-9+/_=-]{20,}", 0, 20),
+        _cut_sql(3, RANDOM, "[A-Za-z0-9+/_-]+=*", 0, 20, "[A-Za-z0-9+/_=-]{20}"),
     ]
 )
 
@@ -376,10 +405,13 @@ WITH docs AS (
 ), cuts AS ({_SQL_CUTS}
 ), spans AS (
     SELECT row_id, nth, kind, least, value, secret, begins, begins + length(value) AS ends FROM (
-        SELECT row_id, nth, kind, least, matches[i] AS value, secrets[i] AS secret,
+        -- '=' between two runs belongs to neither
+        SELECT row_id, nth, kind, least,
+               CASE WHEN nth = 3 AND i < len(matches) AND between[i + 1] = '' THEN rtrim(matches[i], '=') ELSE matches[i] END AS value,
+               CASE WHEN nth = 3 AND i < len(matches) AND between[i + 1] = '' THEN rtrim(matches[i], '=') ELSE secrets[i] END AS secret,
                CAST(list_sum(list_transform(between[1:i], lambda x: length(x)))
                     + coalesce(list_sum(list_transform(matches[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS begins
-        FROM (SELECT *, unnest(range(1, len(matches) + 1)) AS i FROM cuts)
+        FROM (SELECT *, unnest(list_filter(range(1, len(matches) + 1), lambda i: length(secrets[i]) >= least)) AS i FROM cuts)
     ) WHERE length(secret) >= least
 ), base AS (
     SELECT * FROM spans WHERE nth < 3
@@ -388,7 +420,7 @@ WITH docs AS (
       AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row_id = s.row_id AND b.begins < s.ends AND s.begins < b.ends)
 ), tokens AS (
     SELECT *, CASE encoding WHEN 'hex' THEN 0.125::DOUBLE WHEN 'base32' THEN 0.065::DOUBLE WHEN 'base36' THEN 0.06::DOUBLE
-                            WHEN 'base64' THEN 0.055::DOUBLE END AS chance,
+                            WHEN 'base64' THEN 0.044::DOUBLE END AS chance,
            CASE encoding WHEN 'hex' THEN '{ENCODINGS['hex'][1]}' WHEN 'base32' THEN '{ENCODINGS['base32'][1]}'
                          WHEN 'base36' THEN '{ENCODINGS['base36'][1]}' WHEN 'base64' THEN '{ENCODINGS['base64'][1]}' END AS abc,
            translate(regexp_replace(value, '=+$', ''), '-_', '+/') AS plain
@@ -402,7 +434,7 @@ WITH docs AS (
     SELECT value, i, substr(plain, i, 1) AS c, instr(abc, CASE WHEN length(abc) < 64 THEN lower(substr(plain, i, 1)) ELSE substr(plain, i, 1) END) AS r
     FROM (SELECT *, unnest(range(1, length(plain) + 1)) AS i FROM tokens WHERE encoding IS NOT NULL AND length(plain) >= 8)
 ), pairs AS (
-    SELECT value, sum(n * (n - 1) // 2)::DOUBLE AS seen FROM (SELECT value, c, count(*) AS n FROM chars GROUP BY ALL) GROUP BY value
+    SELECT value, sum(n * n)::DOUBLE AS squares FROM (SELECT value, c, count(*) AS n FROM chars GROUP BY ALL) GROUP BY value
 ), steps_of AS (
     SELECT value, r AS y, lag(r) OVER o AS x, CASE WHEN kind <> lag(kind) OVER o THEN 1 ELSE 0 END AS changed
     FROM (SELECT *, CASE WHEN c BETWEEN '0' AND '9' THEN 0 WHEN c BETWEEN 'a' AND 'z' THEN 1 WHEN c BETWEEN 'A' AND 'Z' THEN 2 ELSE 3 END AS kind FROM chars)
@@ -413,17 +445,25 @@ WITH docs AS (
            count(*) * sum(x * y) - sum(x) * sum(y) AS xy
     FROM steps_of WHERE x IS NOT NULL GROUP BY value
 ), measured AS (
-    SELECT value, n, share, seen, (n + 1)::DOUBLE * n / 2 * chance AS due,
+    SELECT value, n, share, squares, (n + 1)::DOUBLE AS size, length(abc)::DOUBLE AS letters, chance,
            CASE WHEN vx <= 0 OR vy <= 0 THEN 1.0::DOUBLE ELSE abs(xy::DOUBLE) / (sqrt(vx::DOUBLE) * sqrt(vy::DOUBLE)) END AS rho
     FROM moments JOIN pairs USING (value) JOIN tokens USING (value)
+), shaped AS (
+    SELECT *, letters / size * squares - size AS statistic, letters - 1 + away AS mean,
+           2 * (1 + away / (letters - 1 + away)) / (9 * (letters - 1 + away)) AS spread
+    FROM (SELECT *, (size - 1) * (letters * chance - 1) AS away FROM measured)
+), scored AS (
+    SELECT *, (1 - spread - pow(statistic / mean, {1 / 3!r}::DOUBLE)) / sqrt(spread) AS z1,
+           CASE WHEN rho >= 0.7::DOUBLE THEN 0 ELSE ({math.atanh(TEXT_CORRELATION)!r}::DOUBLE - ln((1 + rho) / (1 - rho)) / 2) * sqrt((n - 3)::DOUBLE) END AS z3
+    FROM shaped
 ), judged AS (
     SELECT value, CAST(trunc(16 * least(
-        CASE WHEN seen >= due THEN 0 WHEN seen = 0 THEN due ELSE due - seen + seen * ln(seen / due) END,
+        CASE WHEN z1 <= 0 THEN 0 ELSE z1 * z1 / 2 + {math.log(math.sqrt(2 * math.pi))!r}::DOUBLE - ln(4 / (3 * z1 + sqrt(z1 * z1 + 8))) END,
         n * CASE WHEN share <= 0.15::DOUBLE THEN 0 WHEN share >= 1 THEN ln(1 / 0.15::DOUBLE)
                  ELSE share * ln(share / 0.15::DOUBLE) + (1 - share) * ln((1 - share) / 0.85::DOUBLE) END,
-        CASE WHEN rho >= 0.7::DOUBLE THEN 0 ELSE (n - 2) * pow({math.atanh(TEXT_CORRELATION)!r}::DOUBLE - ln((1 + rho) / (1 - rho)) / 2, 2) / 2 END,
+        CASE WHEN z3 <= 0 THEN 0 ELSE z3 * z3 / 2 + {math.log(math.sqrt(2 * math.pi))!r}::DOUBLE - ln(4 / (3 * z3 + sqrt(z3 * z3 + 8))) END,
         64.0::DOUBLE)) AS INTEGER) AS steps
-    FROM measured
+    FROM scored
 ), candidates AS (
     SELECT t.value, coalesce(j.steps, 0) AS steps,
            (length(t.value) >= 32)::INT + (length(t.value) >= 64)::INT + (length(t.value) >= 128)::INT AS stratum

@@ -1,5 +1,7 @@
 """The pipeline: each stage on what the one before kept."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as p
 
 
@@ -32,3 +34,53 @@ def test_odd_rows(spark, small):
         for _, stage in p.STAGES:
             rows = p.staged(stage(spark, rows, small), "test-odd")
         assert rows.columns[0] == "doc_id"
+
+
+def test_a_repeated_id_loses_no_unique_text(spark, small):
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(3, words, "en", "a", 1), (7, words + " more", "en", "a", 1), (7, "a text of its own and nothing like the others at all", "en", "a", 1)]
+    rows += [(8, words.upper(), "en", "a", 1), (9, "twice the very same row of words", "en", "a", 1), (9, "twice the very same row of words", "en", "a", 1)]
+    rows += [(None, words, "en", "a", 1), (10, None, "en", "a", 1), (10, None, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text) for r in p.drop_near_duplicates(spark, docs, small).collect()), key=str)
+    assert kept == sorted([(3, words), (7, rows[2][1]), (9, rows[4][1]), (None, words), (10, None)], key=str)
+
+
+CLASHES = (
+    "score lang_pred found spans base copies copy place own_place own_id own_hash own_source stretch k node kept chosen text_hash hash id own epoch"
+    " first_token start length ids cost sequence_id"
+).split()
+
+
+def test_columns_of_any_name_pass_every_stage(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    docs = docs.unionByName(docs.limit(2)).select("*", *[F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in CLASHES])
+    docs = p.staged(docs, "test-clash")
+    for name, stage in p.STAGES[:-1]:
+        docs = p.staged(stage(spark, docs, small), f"test-clash-{name}")
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c} {r.doc_id}" for r in rows for c in CLASHES), name
+    assert p.pack(spark, docs, small).count() > 0
+
+
+def test_very_long_texts_pass_every_stage(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    long = " ".join(f"the and of word{i}" for i in range(120_000)) + " password=hunter22"
+    rows = [(80001, long, "en", "src0", len(long)), (80002, long + " end", "en", "src0", len(long) + 4)]
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    for name, stage in p.STAGES[:-1]:
+        docs = p.staged(stage(spark, docs, small), f"test-long-{name}")
+    kept = docs.filter("doc_id > 80000").collect()
+    assert {r.doc_id for r in kept} == {80001} and kept[0].text.endswith("word119999 [SECRET]")
+
+
+def test_the_mix_keeps_its_order(spark, small):
+    rows = [(i, f"text {i} " * 20, "en", "small" if i % 20 == 0 else "large", 1) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = p.mix(spark, docs.coalesce(1), small).collect()
+    assert {r.doc_id for r in mixed} == set(range(2000)) and len(mixed) > 2000
+    # sources alternate: each tenth of the rows has a share of both, and epochs of a document lie apart
+    for at in range(0, len(mixed), len(mixed) // 10):
+        part = mixed[at : at + len(mixed) // 10]
+        assert len(part) < 100 or {r.source for r in part} == {"small", "large"}
+    assert sum(a.doc_id == b.doc_id for a, b in zip(mixed, mixed[1:])) < 5

@@ -1,11 +1,13 @@
 """Secrets against a plain scan in Python, and the randomness tests on known strings."""
 
 import hashlib
+import math
 import random
 import re
 import string
 
-from marlstone.llm.secrets import CANDIDATE, evidence, find_secrets, op1_secrets, redacted, spans_text
+import pytest
+from marlstone.llm.secrets import CANDIDATE, STEPS, evidence, find_secrets, op1_secrets, redacted, spans_text
 from pyspark.sql import functions as F
 
 ASSIGN = re.compile(
@@ -48,7 +50,7 @@ def frame(spark, texts):
 
 
 def test_base_spans_equal_plain_scan(spark):
-    got = find_secrets(frame(spark, TEXTS)).select("doc_id", "text", "base", spans_text(F.col("base")).alias("t")).collect()
+    got = find_secrets(frame(spark, TEXTS)).select("doc_id", "text", "secrets.base", spans_text(F.col("secrets.base")).alias("t")).collect()
     assert len(got) == len(TEXTS) + 2
     for r in got:
         assert [tuple(x) for x in r.base] == base(r.text or ""), r.text[:80]
@@ -85,7 +87,7 @@ def test_random_strings_among_words_are_found(spark):
     alphabet = string.ascii_letters + string.digits
     rows = [(i, f"see {''.join(rng.choices(alphabet, k=44))} there") for i in range(40)]
     rows += [(100 + i, "".join(rng.choices(["tion", "ing", "ment", "the"], k=8)) + " words") for i in range(200)]
-    got = find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "spans", redacted(F.col("text"), F.col("spans")).alias("clean")).collect()
+    got = find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "secrets.spans", redacted(F.col("text"), F.col("secrets.spans")).alias("clean")).collect()
     hits = {r.doc_id for r in got if r.spans}
     assert len([d for d in hits if d < 100]) >= 38
     assert not [d for d in hits if d >= 100]
@@ -94,7 +96,7 @@ def test_random_strings_among_words_are_found(spark):
 
 def test_redaction_merges_overlaps(spark):
     row = find_secrets(spark.createDataFrame([("a password=0123456789abcdef01234567 b",)], "text string"))
-    assert row.select(redacted(F.col("text"), F.col("spans")).alias("x")).first().x == "a [SECRET] b"
+    assert row.select(redacted(F.col("text"), F.col("secrets.spans")).alias("x")).first().x == "a [SECRET] b"
 
 
 def test_random_values_after_an_equals_sign_are_found(spark):
@@ -106,7 +108,7 @@ def test_random_values_after_an_equals_sign_are_found(spark):
     rows = [(i, forms[i % 6].format(v), forms[i % 6]) for i, v in enumerate(values)]
     rows += [(100 + i, rows[i][1].replace(rows[i][2].split("{")[0], ""), rows[i][2].split("}")[0].split("{")[1] + "{}" + rows[i][2].split("}")[1]) for i in range(60)]
     found = find_secrets(spark.createDataFrame(rows, "doc_id long, text string, form string"))
-    clean = {r.doc_id: (r.text, r.form, r.clean) for r in found.select("doc_id", "text", "form", redacted(F.col("text"), F.col("spans")).alias("clean")).collect()}
+    clean = {r.doc_id: (r.text, r.form, r.clean) for r in found.select("doc_id", "text", "form", redacted(F.col("text"), F.col("secrets.spans")).alias("clean")).collect()}
     hits = {d for d, (text, _, out) in clean.items() if out != text}
     assert len([d for d in hits if d < 100]) >= 54
     # the same values are found with and without a name before them, and their padding goes with them
@@ -127,3 +129,54 @@ def test_candidates_are_as_in_plain_python():
     for _ in range(300):
         text = "".join("".join(rng.choices("aZ9+_-", k=rng.choice((0, 3, 18, 19, 20, 30)))) + rng.choice(("", "=", "==", " ", "\n", "=\n", ". ")) for _ in range(9))
         assert [(m.start(), m[0]) for m in re.finditer(CANDIDATE, text)] == list(plain(text)), text
+
+
+def nats_of(spark, values):
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v string").select("i", evidence(F.col("v")).alias("s")).collect()
+    return [r.s / STEPS for r in sorted(rows, key=lambda r: r.i)]
+
+
+def test_p_values_hold_for_plain_strings_and_are_small_for_random_ones(spark):
+    """Names put together from words stay above their p-values; strings drawn from an alphabet fall far below."""
+    rng = random.Random(21)
+    words = "the of and to for with value name user config parameter request response manager service data base connection index open close first last time water house people work number".split()
+
+    def plain(join, n):
+        out = ""
+        while len(out) < n:
+            out = join(out, rng.choice(words))
+        return out[:n]
+
+    ways = [lambda a, w: a + w.capitalize(), lambda a, w: a + "_" + w, lambda a, w: a + "-" + w, lambda a, w: a + w, lambda a, w: a + w.upper() + "_"]
+    for way in ways:
+        for n in (24, 48, 96):
+            nats = nats_of(spark, [plain(way, n) for _ in range(200)])
+            assert sum(x >= math.log(20) for x in nats) <= 0.1 * len(nats)
+            assert sum(x >= math.log(1000) for x in nats) <= 0.005 * len(nats)
+    alphabets = {"base64": string.ascii_letters + string.digits + "+/", "base36": string.ascii_lowercase + string.digits, "hex": string.digits + "abcdef"}
+    for n, least in ((48, {"base64": 0.9, "base36": 0.4, "hex": 0.7}), (128, {"base64": 1, "base36": 0.9, "hex": 0.97})):
+        for name, alphabet in alphabets.items():
+            nats = nats_of(spark, ["".join(rng.choices(alphabet, k=n)) for _ in range(100)])
+            assert sum(x >= math.log(1000) for x in nats) >= least[name] * len(nats), (name, n)
+
+
+def test_chi_squared_evidence_equals_a_plain_computation(spark):
+    """With runs and order as in random strings, evidence is the least of the three, computed here step by step."""
+    value = "qZ7x" * 6 + "Kp2w9Lm4"
+    n, letters, chance = len(value), 64, 0.044
+    statistic = letters / n * sum(value.count(c) ** 2 for c in set(value)) - n
+    away = (n - 1) * (letters * chance - 1)
+    mean = letters - 1 + away
+    spread = 2 * (1 + away / mean) / (9 * mean)
+    z = (1 - spread - (statistic / mean) ** (1 / 3)) / math.sqrt(spread)
+    want = 0 if z <= 0 else z * z / 2 + math.log(math.sqrt(2 * math.pi)) - math.log(4 / (3 * z + math.sqrt(z * z + 8)))
+    assert nats_of(spark, [value])[0] == int(min(want, 64) * STEPS) / STEPS
+
+
+def test_columns_of_any_name_stay(spark):
+    names = "base spans free cut_assign in_hex found token steps".split()
+    docs = spark.createDataFrame([(1, "a password=hunter22 b", *names)], ["doc_id", "text", *names])
+    row = find_secrets(docs).first()
+    assert [row[c] for c in names] == names and len(row.secrets.spans) == 1
+    with pytest.raises(ValueError):
+        find_secrets(docs, into="Spans")
