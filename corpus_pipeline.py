@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import sized, staged, table
+from marlstone.llm.common import private, sized, staged, table
 from marlstone.llm.language import predict_beside, train
 from marlstone.llm.mixing import mix_sources
 from marlstone.llm.near_duplicates import near_duplicates
@@ -16,47 +17,94 @@ from marlstone.llm.secrets import find_secrets, redacted
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language cannot be told: no letters, or less than even odds for any language.
 
-    The classifier learns from the labels of the documents themselves. Null texts go.
+    The classifier learns from the labels of the documents themselves. Null and empty texts have no
+    letters and go, whatever their label; texts are read whole, however long; each of repeated rows
+    is judged alike; null ids and sources don't matter. Columns of any other name stay as they are.
+    An empty table stays empty.
     """
-    found = predict_beside(docs, train(docs))
-    return found.filter("lang_pred != 'und' AND score >= 0.5").select(*docs.columns)
+    found = private(docs, "found")
+    judged = predict_beside(docs, train(docs), found)
+    return judged.filter(f"{found}.lang_pred != 'und' AND {found}.score >= 0.5").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near-duplicates: five-word shingles, similarity 0.8 or more.
 
-    Of rows that repeat a doc_id one stays; rows without doc_id stay.
+    The document of the smallest doc_id stays. Rows of one doc_id and different texts are different
+    documents; of rows equal in doc_id and text one stays. Rows without doc_id stay, as do null, empty
+    and blank texts, but for repeated rows; texts are compared whole, however long. Columns of any
+    other name stay as they are. An empty table stays empty.
     """
-    found = staged(near_duplicates(docs).select("doc_id", "kept"), "pipeline-near")
-    dropped = staged(found.filter("NOT kept").select("doc_id").distinct(), "pipeline-dropped")
-    left = docs.join(sized(dropped), "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    found = staged(near_duplicates(docs).select("doc_id", "text_hash", "chosen"), "pipeline-near")
+    own, text_hash, doc_id = private(docs, "own"), private(docs, "hash"), private(docs, "id")
+    keyed = docs.withColumns({doc_id: F.col("doc_id").cast("long"), text_hash: F.xxhash64("text")})
+    keys = (F.col(doc_id) == F.col("k.own_id")) & (F.col(text_hash) == F.col("k.own_hash"))
+    renamed = [F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")]
+    dropped = staged(found.filter("NOT chosen").select(*renamed).distinct(), "pipeline-dropped")
+    left = keyed.join(sized(dropped).alias("k"), keys, "left_anti")
+    repeated = found.filter("chosen AND doc_id IS NOT NULL").groupBy(*renamed).count().filter("count > 1").drop("count")
+    repeated = staged(repeated, "pipeline-repeated")
     if repeated.isEmpty():
-        return left
-    return left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id IS NULL"))
+        return left.select(*docs.columns)
+    # Spark keeps one row of each key in every task before it shuffles them
+    nth = F.row_number().over(W.partitionBy(doc_id, text_hash).orderBy(F.to_json(F.struct(*docs.columns))))
+    once = left.join(sized(repeated).alias("k"), keys, "left_semi").withColumn(own, nth).filter(F.col(own) == 1)
+    return left.join(sized(repeated).alias("k"), keys, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put a mark in the place of every secret; texts without secrets stay as they are."""
-    found = find_secrets(docs).withColumn("text", redacted(F.col("text"), F.col("spans")))
-    n_chars = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumn("n_chars", n_chars).select(*docs.columns)
+    """Put a mark in the place of every secret; texts without secrets stay as they are, null ones null.
+
+    A text of nothing but a secret becomes the mark; overlapping secrets share one; texts are searched
+    whole, however long; no row is dropped or added, whatever its id, and repeated rows stay. n_chars
+    follows the new text. Columns of any other name stay as they are. An empty table stays empty.
+    """
+    found, clean = private(docs, "found"), private(docs, "clean")
+    spans = F.col(f"{found}.spans")
+    marked = find_secrets(docs, into=found).withColumn(clean, redacted(F.col("text"), spans))
+    length = F.when(F.size(spans) > 0, F.length(clean).cast("long")).otherwise(F.col("n_chars"))
+    changed = {"text": F.col(clean), "n_chars": length}
+    return marked.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents of small sources, up to twice, so that no source outweighs the others as before.
 
-    Every document occurs at least once; a chosen epoch of a document is a row of its own.
+    Every document occurs at least once; a chosen epoch of a document is a row of its own. Rows are
+    written in the order of the mix: every source's stream of permuted blocks is laid evenly over the
+    whole, so that sources alternate and the epochs of a document lie apart. Null sources are one
+    source of their own; null and empty texts have no tokens and occur once; a very long text is one
+    document; rows that repeat a doc_id are repeated alike, each in the place of the first; rows without
+    doc_id occur once, in places by the hash of their text. Columns of any other name stay as they
+    are. An empty table stays empty.
     """
     chosen = mix_sources(docs, max_repeats=2.0, whole=True)
-    copies = staged(chosen.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("copies")), "pipeline-copies")
-    repeats = F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)))).alias("copy")
-    return docs.join(sized(copies), "doc_id", "left").select(*docs.columns, repeats).drop("copy")
+    chosen = staged(chosen.select(F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), "tokens", "first_token"), "pipeline-mix")
+    ends = chosen.groupBy("own_source").agg(F.max(F.col("first_token") + F.col("tokens")).alias("end"))
+    places = staged(
+        chosen.join(sized(staged(ends, "pipeline-ends")), "own_source").select(
+            "own_id", (F.col("first_token") / F.greatest("end", F.lit(1))).alias("own_place")
+        ),
+        "pipeline-places",
+    )
+    place, stretch = private(docs, "place"), private(docs, "stretch")
+    by_hash = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # stretches of about a thousand documents; Spark deals them to tasks, which sort them
+    stretches = max(1, places.count() // 1024)
+    mixed = docs.join(sized(places), docs["doc_id"].cast("long") == places["own_id"], "left").select(
+        *[docs[c] for c in docs.columns], F.coalesce(places["own_place"], by_hash).alias(place)
+    )
+    mixed = mixed.withColumn(stretch, F.floor(F.col(place) * stretches))
+    return mixed.repartition(stretch).sortWithinPartitions(stretch, place).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048 ids, balanced by attention cost; one row per piece."""
-    return pack_documents(docs, specials_are_text=False)
+    """Token sequences of at most 2048 ids, balanced by attention cost; one row per piece.
+
+    Null and empty texts are an end id alone; texts of any length are cut freely; repeated rows and
+    rows without doc_id are packed row by row; other columns play no part. An empty table gives no rows.
+    """
+    return pack_documents(docs)
 
 
 #: (name, function); each takes (spark, docs, sf_dir), and its result, written and read again, is the next one's docs.
