@@ -1,8 +1,9 @@
 """Exact search against all inner products."""
 
 import numpy as np
+import pytest
 
-from marlstone.llm.topk import MTree, Searcher, _build, lifted, top_k
+from marlstone.llm.topk import MTree, Searcher, _build, lifted, op6_topk, top_k
 
 
 def plain(rows, queries, k):
@@ -35,9 +36,9 @@ def test_bounds_save_computations():
     centers = rng.standard_normal((20, 6)) * 100
     points = np.round(np.repeat(centers, 100, axis=0) + rng.standard_normal((2000, 6)))
     reach = float((points**2).sum(axis=1).max())
-    frame = pd.DataFrame({"dimension": 6, "tree": 0, "first": np.arange(2000), "ids": [np.array([i]) for i in range(2000)], "vector": list(points)})
-    searcher = Searcher(_build(frame, reach, 32, 8), 6, reach)
-    best = searcher.search(points[7], 7, 5)
+    frame = pd.DataFrame({"dimension": 6, "cell": 0, "part": 0, "first": np.arange(2000), "ids": [np.array([i]) for i in range(2000)], "vector": list(points)})
+    searcher = Searcher(_build(frame, reach, 32, 8), 6, reach, reach)
+    best = searcher.search(points[7:8], [7], 5)[0]
     assert [s for s, _ in best] == sorted((points @ points[7])[np.arange(2000) != 7].tolist())[::-1][:5]
     assert searcher.computed < 1500
 
@@ -53,3 +54,39 @@ def test_tree_keeps_every_row_within_its_radius():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert top_k(df, df).count() == 0
+
+
+def test_exact_at_any_size(spark):
+    rng = np.random.default_rng(8)
+    for size in (1e6, 3e6, 4e6):
+        rows = [(i, (np.full(12, size) + rng.integers(-5, 6, 12)).tolist()) for i in range(300)]
+        rows += [(400 + i, v) for i, (_, v) in enumerate(rows[:20])]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        queries = df.filter("vec_id % 50 = 0")
+        if size == 4e6:
+            with pytest.raises(Exception, match="too large for a long"):
+                top_k(queries, df).collect()
+            continue
+        got = {tuple(r) for r in top_k(queries, df, tree_rows=100, page_rows=16, fanout=4).collect()}
+        want = set()
+        whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+        for q in [i for i in whole if i % 50 == 0]:
+            scored = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
+            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:5])}
+        assert got == want
+
+
+def test_far_cells_are_not_asked(spark):
+    rng = np.random.default_rng(5)
+    centers = rng.standard_normal((8, 10)) * 40
+    rows = [(i, (centers[i % 8] + rng.standard_normal(10)).tolist()) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = df.filter("vec_id % 50 = 0")
+    got = {tuple(r) for r in top_k(queries, df, tree_rows=100, page_rows=16, fanout=4).collect()}
+    floats = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    assert got == plain(floats, [i for i, _ in rows if i % 50 == 0], 5)
+
+
+def test_query_on_embeddings(spark, small):
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
+    assert {tuple(r) for r in op6_topk(spark, small).collect()} == plain(rows, [i for i, _ in rows if i % 50 == 0], 5)
