@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marlstone.llm.separators import END_ID, flatten, op10_separator_scan, read_flat_files, scan
+from marlstone.llm.separators import END_ID, count_tokens, op10_separator_scan, read_flat_files, scan, write_flat_files
 from marlstone.llm.tokens import default_vocabulary
 
 
@@ -19,10 +19,32 @@ def test_blocks_of_any_size(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(40)
     odd = spark.createDataFrame([(9001, None, 1), (9002, "", 2), (None, "a", 3), (9003, "long " * 20_000, 4), (9003, "b", 5)], "doc_id long, text string, block int")
     docs = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).coalesce(1)
-    columns = ["stream", "ordinal", "start", "n_tokens", "closed", "doc_id"]
-    read = lambda size: sorted((tuple(r) for r in scan(flatten(docs, block_tokens=size)).select(*columns).collect()), key=str)
+    columns = ["ordinal", "start", "n_tokens", "closed", "doc_id"]
+    read = lambda size: sorted((tuple(r) for r in count_tokens(docs, block_tokens=size).select(*columns).collect()), key=str)
     assert read(1 << 18) == read(1000) == read(7)
     assert len(read(1000)) == docs.count()
+    # a new file after every 5,000 tokens: other places, the same counts
+    cut = count_tokens(docs, file_tokens=5000).collect()
+    assert len({r.stream for r in cut}) > 3
+    assert sorted((r.n_tokens, r.doc_id) for r in cut if r.doc_id) == sorted((n, d) for _, _, n, _, d in read(1000) if d)
+
+
+def test_columns_of_any_name_play_no_part(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y", 3)], "doc_id long, text string, stream string, ordinal string, block int")
+    assert [(r.doc_id, r.n_tokens) for r in count_tokens(docs).collect()] == [(1, 3)]
+
+
+def test_the_prefix_scan_passes_chunks(spark, tmp_path):
+    """One file of more blocks than a chunk has, cut at odd places, with documents that run over whole chunks."""
+    rng = np.random.default_rng(4)
+    ids = rng.integers(0, 100, 40_001).astype("<u2")
+    ids[[5, 6, 900, 21_000, 21_001, 35_000]] = END_ID
+    (tmp_path / "one.bin").write_bytes(ids.tobytes())
+    stops = [*(np.flatnonzero(ids == END_ID) + 1).tolist(), len(ids)]
+    want = [(n, s, e - s) for n, (s, e) in enumerate(zip([0, *stops], stops, strict=False))]
+    for size in (3, 7, 333):
+        found = scan(read_flat_files(spark, str(tmp_path), block_tokens=size))
+        assert [(r.ordinal, r.start, r.n_tokens) for r in found.orderBy("ordinal").collect()] == want
 
 
 def test_flat_files(spark, tmp_path):
@@ -45,7 +67,14 @@ def test_flat_files(spark, tmp_path):
 
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert scan(flatten(docs)).count() == 0
+    assert count_tokens(docs).count() == 0
+
+
+def test_a_task_that_runs_again_leaves_one_file(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string").coalesce(1)
+    for _ in range(2):
+        names = write_flat_files(docs, str(tmp_path / "flat"))
+    assert [f.name for f in (tmp_path / "flat").iterdir()] == ["part-00000-00000"] and names.count() == 50
 
 
 def test_blocks_of_a_large_file_are_read_by_many_tasks(spark, tmp_path):
