@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import staged, table
+from marlstone.llm.common import sized, staged, table
 from marlstone.llm.components import connected_components
 
 
@@ -48,6 +49,7 @@ class Forest:
     dimension: int
     leaves: int = 0
     roots: list = field(default_factory=list)
+    stuck: list = field(default_factory=list)  # leaves that no split would lighten, however many rows they have
 
     def grow(self, sample: np.ndarray, trees: int, rows: int, leaf_rows: int, margin: float, seed: int) -> Forest:
         """Fit splits to a ``sample`` of ``rows`` rows until leaves should hold ``leaf_rows``.
@@ -79,6 +81,7 @@ class Forest:
                 parts = along <= middle + margin, along >= middle - margin
                 sides = [self._split(sample, own[side], least, margin, random) for side in parts]
                 return direction, middle, margin, *sides
+            self.stuck.append(self.leaves)
         self.leaves += 1
         return self.leaves - 1
 
@@ -100,6 +103,66 @@ class Forest:
         return [sorted(x) for x in out]
 
 
+#: Rows of an over-full leaf that its own splits are fitted to, rows of it that one task sends down them,
+#: and how often leaves are split again: each time they may hold some hundred times fewer rows.
+SPLIT_SAMPLE, SPLIT_BLOCK, SPLIT_TURNS = 2_000, 8_192, 2
+
+
+def _split_again(
+    routed: DataFrame, turn: int, stuck: list[int], most: int, leaf_rows: int, margin: float, seed: int
+) -> tuple[DataFrame, bool]:
+    """``routed`` (node, copies, unit, leaves) with leaves of more than ``most`` rows split by trees of their own.
+
+    The forest is fitted to a sample of bounded size, so its leaves grow with the rows. Each over-full
+    one gets a tree, fitted to a sample of its own rows in a task; the trees never reach the driver,
+    but meet their leaf's rows, block by block. Leaves that no split would lighten stay as they are.
+    """
+    sizes = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    tag = (turn - 1) << 58
+    fresh = (F.col("leaf") >= tag) & (~F.col("leaf").isin(stuck) if turn == 1 and stuck else F.lit(True))
+    over = staged(sizes.filter((F.col("n") > most) & fresh), "vector-over")
+    if over.isEmpty():
+        return routed, False
+    own = routed.select("node", "unit", F.explode("leaves").alias("leaf")).join(sized(over), "leaf")
+
+    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        unit = np.frombuffer(b"".join(rows["unit"]), dtype="<f8").reshape(len(rows), -1)
+        forest = Forest(unit.shape[1]).grow(unit, 1, int(rows["n"].iloc[0]), leaf_rows, margin / math.sqrt(unit.shape[1]), seed + turn)
+        return pd.DataFrame({"leaf": [key[0]], "tree": [pickle.dumps(forest)], "parts": [forest.leaves]})
+
+    point = F.pmod(F.xxhash64("node", F.lit(seed + turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = own.filter(point * F.col("n") < SPLIT_SAMPLE).groupBy("leaf")
+    trees = staged(some.applyInPandas(grow, "leaf long, tree binary, parts int").filter("parts > 1"), "vector-trees")
+    blocks = F.ceil(F.col("n") / SPLIT_BLOCK).cast("int")
+    split = staged(over.join(trees.select("leaf"), "leaf").select("leaf", blocks.alias("blocks")), "vector-split")
+    if split.isEmpty():
+        return routed, False
+    dealt = own.drop("n").join(sized(split), "leaf").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    copied = trees.join(split, "leaf").select(F.col("leaf").alias("of_leaf"), "tree", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("of_block"))
+
+    def descend(key: tuple, rows: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"node": [], "gone": [], "subs": []}).astype({"node": "int64", "gone": "int64"})
+        unit = np.frombuffer(b"".join(rows["unit"]), dtype="<f8").reshape(len(rows), -1)
+        # a new id holds its parent's, and the turn above it
+        base = (turn << 58) | ((int(key[0]) & ((1 << 58) - 1)) << 12)
+        subs = [[base | x for x in found] for found in pickle.loads(tree["tree"].iloc[0]).route(unit)]
+        return pd.DataFrame({"node": rows["node"], "gone": int(key[0]), "subs": subs})
+
+    moved = (
+        dealt.select("leaf", "block", "node", "unit")
+        .groupBy("leaf", "block")
+        .cogroup(copied.groupBy("of_leaf", "of_block"))
+        .applyInPandas(descend, "node long, gone long, subs array<long>")
+        .groupBy("node")
+        .agg(F.collect_list("gone").alias("gone"), F.flatten(F.collect_list("subs")).alias("subs"))
+    )
+    none = F.expr("cast(array() AS array<bigint>)")
+    leaves = F.array_sort(F.concat(F.array_except("leaves", F.coalesce("gone", none)), F.coalesce("subs", none)))
+    return staged(routed.join(moved, "node", "left").select("node", "copies", "unit", leaves.alias("leaves")), "vector-leaves"), True
+
+
 def _compare(rows: pd.DataFrame, leaf: int, low: int, high: int, least: float) -> pd.DataFrame:
     """Links between the rows of a cell that no earlier leaf has: weight of links and root by node."""
     rows = rows.sort_values("node")
@@ -119,7 +182,7 @@ def _compare(rows: pd.DataFrame, leaf: int, low: int, high: int, least: float) -
     links, root = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
     if len(met):
         leaves = rows["leaves"].to_list()
-        earlier = [[x for x in np.frombuffer(leaves[m], dtype="<i4").tolist() if x < leaf] for m in met.tolist()]
+        earlier = [[x for x in np.asarray(leaves[m]).tolist() if x < leaf] for m in met.tolist()]
         number = {x: n for n, x in enumerate(sorted({x for own in earlier for x in own}))}
         shared = np.zeros((len(met), max(1, len(number))), dtype=np.float32)
         for n, own in enumerate(earlier):
@@ -174,7 +237,8 @@ def near_vectors(
     ``sample_rows`` of the others, chosen by hash, and so small enough to send to all tasks; then
     every vector goes down every tree, and to both sides of a split where it is nearer to it than
     ``spill`` times the distance of rows at the threshold along the direction. Where rows lie so dense
-    that splits would mostly put them on both sides, splitting ends (see :class:`Forest`). Within a leaf all pairs are
+    that splits would mostly put them on both sides, splitting ends (see :class:`Forest`). Leaves that hold
+    too many rows because the sample ran out are split again by trees of their own. Within a leaf all pairs are
     compared by cosine in double precision; leaves of more than ``cell_rows`` are cut into blocks,
     whose pairs are cells of their own, so no task grows with a dense region. A pair counts in the
     first leaf that both share, so links are counted without making a row for each; every cell
@@ -183,8 +247,8 @@ def near_vectors(
     Returns one row per input row: id, n_links (other vectors linked directly), component_id
     (smallest id reachable by links), kept (id = component_id). Vectors that are null, empty, zero
     or hold null or non-finite components are linked with nothing, nor are rows without id; vectors
-    are compared with those of their own dimension. Repeated rows are vectors of their own. An empty
-    table gives no rows.
+    are compared with those of their own dimension. Repeated rows are vectors of their own; columns of
+    other names play no part. An empty table gives no rows.
     """
     spark = rows.sparkSession
     vector = F.col("vector")
@@ -227,16 +291,15 @@ def near_vectors(
                 routes = forest.route(unit) if forest else [[0]] * len(own)
                 for i, row, found in zip(own.tolist(), unit, routes, strict=True):
                     units[i] = row.tobytes()
-                    leaves[i] = (base + np.array(found)).astype("<i4")
+                    leaves[i] = (base + np.array(found)).astype("<i8")
             yield pa.record_batch(
                 [
                     batch.column(0),
                     batch.column(2),
                     pa.array(units, pa.binary()),
-                    pa.array(leaves, pa.list_(pa.int32())),
-                    pa.array([x.tobytes() for x in leaves], pa.binary()),
+                    pa.array(leaves, pa.list_(pa.int64())),
                 ],
-                names=["node", "copies", "unit", "leaf", "leaves"],
+                names=["node", "copies", "unit", "leaves"],
             )
 
     def forests_of() -> dict:
@@ -244,11 +307,17 @@ def near_vectors(
 
     routed = staged(
         classes.select("node", "vector", "copies").mapInArrow(
-            route, "node long, copies long, unit binary, leaf array<int>, leaves binary"
+            route, "node long, copies long, unit binary, leaves array<long>"
         ),
         "vector-leaves",
     )
-    placed = routed.withColumn("leaf", F.explode("leaf"))
+    stuck = [first + leaf for first, forest in forests.values() for leaf in forest.stuck]
+    apart = math.sqrt(max(2 - 2 * least, 0.0))
+    for turn in range(1, SPLIT_TURNS + 1):
+        routed, more = _split_again(routed, turn, stuck, max(cell_rows, 4 * leaf_rows), leaf_rows, spill * apart, seed)
+        if not more:
+            break
+    placed = routed.withColumn("leaf", F.explode("leaves"))
     sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
     blocks = sizes.select("leaf", F.when(F.col("n") <= cell_rows, 1).otherwise(F.ceil(F.col("n") / (cell_rows // 2))).cast("int").alias("blocks"))
     cells = (

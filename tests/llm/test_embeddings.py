@@ -74,3 +74,29 @@ def test_dense_group_ends_splitting_and_loses_no_links(spark, tmp_path):
     print(f"leaves {forest.leaves}, placements a row {len(placed) / n:.2f}, largest leaf {np.bincount(placed).max()}, links {found} of {want}")
     assert 0.999 * want <= found <= want
     assert (got["component_id"].to_numpy()[:dense] == 0).all()
+
+
+def test_over_full_leaves_are_split_again(spark, monkeypatch):
+    """A forest fitted to few rows leaves large leaves; split again, they are small, and links are still found."""
+    from marlstone.llm import embeddings
+
+    rng = np.random.default_rng(14)
+    base = rng.standard_normal((3000, 32))
+    near = base[:1500] + rng.standard_normal((1500, 32)) * 0.25
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(np.concatenate([base, near]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    largest, split_again = [], embeddings._split_again
+
+    def watched(routed, *rest):
+        out, more = split_again(routed, *rest)
+        sizes = lambda r: r.selectExpr("explode(leaves) AS leaf").groupBy("leaf").count().agg({"count": "max"}).first()[0]
+        largest.append((sizes(routed), sizes(out), more))
+        return out, more
+
+    monkeypatch.setattr(embeddings, "_split_again", watched)
+    monkeypatch.setattr(embeddings, "SPLIT_SAMPLE", 600)
+    got = {r.vec_id: r for r in near_vectors(df, leaf_rows=64, sample_rows=120, cell_rows=128).collect()}
+    assert largest[0][2] and largest[-1][1] < 0.6 * largest[0][0], largest
+    want = {i: n for i, n, _, _ in plain(rows, 0.9)}
+    assert all(r.n_links <= want[i] for i, r in got.items())
+    assert sum(r.n_links for r in got.values()) >= 0.9 * sum(want.values()) > 0
