@@ -49,20 +49,20 @@ def shard_documents(
     """Put every document into one of ``shards`` shards whose sizes are near equal.
 
     Documents of equal text form a group, and a group stays together unless it holds more than a
-    whole shard in any of the dimensions bytes, tokens and rows; then it is dealt by ``doc_id`` into
+    whole shard in any of the dimensions bytes, tokens and rows; then its rows are dealt by hash into
     parts of about 1 / 64 of a shard. The rows of groups of more than a quarter of a shard are dealt
     so as well, but only to spread the work: their parts go to one shard. Groups and parts that weigh enough to matter to a bin,
     at most 96 for each bin and shard of eight, are placed by :func:`place` first. All others are
     dealt by hash into bins of about ``items_a_bin``; each bin is packed in one task into an equal
-    part of the room that is left. There are at most ``most_bins`` of them, which bounds what is
-    placed first, on the driver, as well.
+    part of the room that is left. However many bins there are, no more is placed first, on the
+    driver, than ``most_bins`` of them would have; that is less than a 16,000th of a shard each.
 
     ``tokens`` counts the tokens of a row; by default they are runs of non-space characters.
 
     Returns one row per input row: doc_id, size (UTF-8 bytes plus 1), tokens, text_crc32 (unsigned),
     shard, slot (gapless from 0 in each shard, by slices of about ``rows_a_slice``). Null and empty
-    texts form one group of size 1 a row; null and repeated doc_ids are sharded row by row; an empty
-    table gives no rows.
+    texts form one group of size 1 a row; texts are measured whole; null and repeated doc_ids are
+    sharded row by row; columns of other names play no part; an empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
     rows = staged(
@@ -72,13 +72,15 @@ def shard_documents(
             (tokens if tokens is not None else F.regexp_count(text, F.lit(r"\S+"))).cast("long").alias("tokens"),
             F.crc32(text).alias("text_crc32"),
             F.unhex(F.md5(text)).alias("group"),
+            # numbered when written; ids may be null or repeated
+            F.monotonically_increasing_id().alias("row"),
         ),
         "shard-rows",
     )
     groups = rows.groupBy("group").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     total = groups.agg(F.count(F.lit(1)).alias("groups"), *[F.sum(d).alias(d) for d in DIMENSIONS]).first()
     totals = np.array([float(total[d] or 0) for d in DIMENSIONS])
-    bins = min(most_bins, max(1, -(-total.groups // items_a_bin)))
+    bins = max(1, -(-total.groups // items_a_bin))
     share = F.greatest(*[F.col(d) / F.lit(max(1.0, x)) for d, x in zip(DIMENSIONS, totals.tolist(), strict=True)])
     huge = groups.filter(share * (4 * shards) > 1).select(
         "group", F.ceil(share * (64 * shards)).alias("parts"), (share * shards <= 1).alias("whole")
@@ -87,7 +89,7 @@ def shard_documents(
     parted = rows.join(sized(staged(huge, "shard-huge")), "group", "left").withColumn(
         "part",
         F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(
-            F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts"))
+            F.pmod(F.xxhash64("row", F.lit("part")), F.col("parts"))
         ),
     )
     items = staged(
@@ -98,7 +100,7 @@ def shard_documents(
             F.count(F.lit(1)).alias("rows"),
             F.coalesce(F.max(F.when(F.col("whole"), F.col("parts"))), F.lit(1)).alias("parts"),
         )
-        .withColumn("heavy", share * (shards * max(64, 4 * bins)) > 1),
+        .withColumn("heavy", share * (shards * max(64, 4 * min(bins, most_bins))) > 1),
         "shard-items",
     )
     heavy = items.filter("heavy").orderBy("group", "part").toPandas()
@@ -128,7 +130,7 @@ def shard_documents(
             "tokens",
             "text_crc32",
             "shard",
-            F.pmod(F.xxhash64("doc_id", F.lit("slice")), F.lit(slices)).alias("slice"),
+            F.pmod(F.xxhash64("row", F.lit("slice")), F.lit(slices)).alias("slice"),
         ),
         "shard-placed",
     )

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from marlstone.llm.sharding import op3_sharding, place, shard_documents
+from marlstone.llm.sharding import WEIGHTS, op3_sharding, place, shard_documents
 
 
 def test_place_goes_where_the_dot_product_is_highest():
@@ -82,3 +82,34 @@ def test_groups_that_fit_into_a_shard_stay_whole(spark):
     counts = Counter(r.shard for r in got)
     print("rows of the largest shard over the mean", max(counts.values()) * 8 / len(got))
     assert max(counts.values()) < 2 * len(got) / 8
+
+
+def test_place_equals_a_plain_loop():
+    """Largest first, each to the shard whose residual capacity gives the highest weighted dot product."""
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        vectors = np.round(rng.pareto(1.5, (60, 3)) * 100) + 1
+        room = np.tile(vectors.sum(axis=0) / 5, (5, 1))
+        mean, left, want = room.mean(axis=0), (room / room.mean(axis=0)).tolist(), {}
+        for i in sorted(range(60), key=lambda i: -sum(vectors[i] / mean)):
+            own = (vectors[i] / mean).tolist()
+            scores = [sum(r * x * w for r, x, w in zip(residual, own, WEIGHTS)) for residual in left]
+            best = max(range(5), key=lambda s: (round(scores[s], 12), -s))
+            left[best] = [r - x for r, x in zip(left[best], own)]
+            want[i] = best
+        got, residual = place(vectors, room)
+        assert np.mean([got[i] == want[i] for i in range(60)]) == 1 and np.allclose(residual, np.array(left) * mean)
+
+
+def test_hot_rows_without_id_are_dealt(spark):
+    rows = [(None, "one and the same") for _ in range(4000)] + [(i, f"text {i} " * 5) for i in range(2000)]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    check(got, rows, 4)
+    counts = Counter(r.shard for r in got)
+    assert len(counts) == 4 and max(counts.values()) < 1.1 * len(got) / 4
+
+
+def test_columns_of_any_name_play_no_part(spark):
+    names = "size tokens group row part shard slot heavy bin".split()
+    docs = spark.createDataFrame([(i, f"text {i}", *names) for i in range(20)], ["doc_id", "text", *names])
+    check(shard_documents(docs, 2).collect(), [(i, f"text {i}") for i in range(20)], 2)
