@@ -1,5 +1,7 @@
 """Shards: balance in all dimensions, gapless slots, groups together."""
 
+import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -113,3 +115,30 @@ def test_columns_of_any_name_play_no_part(spark):
     names = "size tokens group row part shard slot heavy bin".split()
     docs = spark.createDataFrame([(i, f"text {i}", *names) for i in range(20)], ["doc_id", "text", *names])
     check(shard_documents(docs, 2).collect(), [(i, f"text {i}") for i in range(20)], 2)
+
+
+def test_query_equals_a_plain_version(spark, small):
+    """The whole of the query in plain Python: groups of equal texts, heavy ones first, the rest in one bin."""
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    groups = defaultdict(lambda: [0, 0, 0])
+    for text in docs.values():
+        own = groups[hashlib.md5(text.encode()).digest()]
+        own[0] += len(text.encode()) + 1
+        own[1] += len(re.findall(r"\S+", text, re.ASCII))
+        own[2] += 1
+    totals = [sum(x[k] for x in groups.values()) for k in range(3)]
+    share = {g: max(x / t for x, t in zip(v, totals)) for g, v in groups.items()}
+    assert max(share.values()) * 8 <= 1  # no group must be split
+    unit = {g: [8 * x / t for x, t in zip(v, totals)] for g, v in groups.items()}
+    left, want = [[1.0] * 3 for _ in range(8)], {}
+    for heavy in (True, False):
+        for g in sorted(sorted(g for g in groups if (share[g] * 8 * 64 > 1) == heavy), key=lambda g: -round(sum(unit[g]), 12)):
+            scores = [sum(r * x * w for r, x, w in zip(residual, unit[g], WEIGHTS)) for residual in left]
+            best = max(range(8), key=lambda s: (round(scores[s], 12), -s))
+            left[best] = [r - x for r, x in zip(left[best], unit[g])]
+            want[g] = best
+    got = {r.doc_id: r for r in op3_sharding(spark, small).collect()}
+    assert {d: r.shard for d, r in got.items()} == {d: want[hashlib.md5(t.encode()).digest()] for d, t in docs.items()}
+    for shard in range(8):
+        own = sorted(d for d, r in got.items() if r.shard == shard)
+        assert {r.slot for r in got.values() if r.shard == shard} == set(range(len(own)))
