@@ -30,6 +30,11 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def _unpacked(raw: pd.Series, kind: str) -> np.ndarray:
+    """Unit rows of vectors that travel as bytes of the type they are read in."""
+    return unit_rows(np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1))
+
+
 #: Directions that a node tries, and the quantiles along each at which it may be split.
 DIRECTIONS, QUANTILES = 4, (0.5, 0.375, 0.625, 0.25, 0.75, 0.125, 0.875)
 #: A node may put this share of its rows on both sides, and this share on its larger side.
@@ -109,9 +114,9 @@ SPLIT_SAMPLE, SPLIT_BLOCK, SPLIT_TURNS = 2_000, 8_192, 2
 
 
 def _split_again(
-    routed: DataFrame, turn: int, stuck: list[int], most: int, leaf_rows: int, margin: float, seed: int
+    routed: DataFrame, turn: int, stuck: list[int], most: int, leaf_rows: int, margin: float, seed: int, kind: str
 ) -> tuple[DataFrame, bool]:
-    """``routed`` (node, copies, unit, leaves) with leaves of more than ``most`` rows split by trees of their own.
+    """``routed`` (node, copies, raw, leaves) with leaves of more than ``most`` rows split by trees of their own.
 
     The forest is fitted to a sample of bounded size, so its leaves grow with the rows. Each over-full
     one gets a tree, fitted to a sample of its own rows in a task; the trees never reach the driver,
@@ -123,11 +128,11 @@ def _split_again(
     over = staged(sizes.filter((F.col("n") > most) & fresh), "vector-over")
     if over.isEmpty():
         return routed, False
-    own = routed.select("node", "unit", F.explode("leaves").alias("leaf")).join(sized(over), "leaf")
+    own = routed.select("node", "raw", F.explode("leaves").alias("leaf")).join(sized(over), "leaf")
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
-        unit = np.frombuffer(b"".join(rows["unit"]), dtype="<f8").reshape(len(rows), -1)
+        unit = _unpacked(rows["raw"], kind)
         forest = Forest(unit.shape[1]).grow(unit, 1, int(rows["n"].iloc[0]), leaf_rows, margin / math.sqrt(unit.shape[1]), seed + turn)
         return pd.DataFrame({"leaf": [key[0]], "tree": [pickle.dumps(forest)], "parts": [forest.leaves]})
 
@@ -144,14 +149,14 @@ def _split_again(
     def descend(key: tuple, rows: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame({"node": [], "gone": [], "subs": []}).astype({"node": "int64", "gone": "int64"})
-        unit = np.frombuffer(b"".join(rows["unit"]), dtype="<f8").reshape(len(rows), -1)
+        unit = _unpacked(rows["raw"], kind)
         # a new id holds its parent's, and the turn above it
         base = (turn << 58) | ((int(key[0]) & ((1 << 58) - 1)) << 12)
         subs = [[base | x for x in found] for found in pickle.loads(tree["tree"].iloc[0]).route(unit)]
         return pd.DataFrame({"node": rows["node"], "gone": int(key[0]), "subs": subs})
 
     moved = (
-        dealt.select("leaf", "block", "node", "unit")
+        dealt.select("leaf", "block", "node", "raw")
         .groupBy("leaf", "block")
         .cogroup(copied.groupBy("of_leaf", "of_block"))
         .applyInPandas(descend, "node long, gone long, subs array<long>")
@@ -160,14 +165,14 @@ def _split_again(
     )
     none = F.expr("cast(array() AS array<bigint>)")
     leaves = F.array_sort(F.concat(F.array_except("leaves", F.coalesce("gone", none)), F.coalesce("subs", none)))
-    return staged(routed.join(moved, "node", "left").select("node", "copies", "unit", leaves.alias("leaves")), "vector-leaves"), True
+    return staged(routed.join(moved, "node", "left").select("node", "copies", "raw", leaves.alias("leaves")), "vector-leaves"), True
 
 
-def _compare(rows: pd.DataFrame, leaf: int, low: int, high: int, least: float) -> pd.DataFrame:
-    """Links between the rows of a cell that no earlier leaf has: weight of links and root by node."""
+def _compare(rows: pd.DataFrame, low: int, high: int, least: float, kind: str) -> pd.DataFrame:
+    """Links between the rows of a cell that no leaf of their ``earlier`` ones has: weight of links and root by node."""
     rows = rows.sort_values("node")
     nodes, copies, block = rows["node"].to_numpy(), rows["copies"].to_numpy(), rows["block"].to_numpy()
-    unit = np.frombuffer(b"".join(rows["unit"]), dtype="<f8").reshape(len(rows), -1)
+    unit = _unpacked(rows["raw"], kind)
     first = np.flatnonzero(block == low)
     second = first if low == high else np.flatnonzero(block == high)
     pairs = []
@@ -181,8 +186,7 @@ def _compare(rows: pd.DataFrame, leaf: int, low: int, high: int, least: float) -
     met = np.unique(np.concatenate([i, j]))
     links, root = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
     if len(met):
-        leaves = rows["leaves"].to_list()
-        earlier = [[x for x in np.asarray(leaves[m]).tolist() if x < leaf] for m in met.tolist()]
+        earlier = [np.asarray(x).tolist() for x in rows["earlier"].iloc[met]]
         number = {x: n for n, x in enumerate(sorted({x for own in earlier for x in own}))}
         shared = np.zeros((len(met), max(1, len(number))), dtype=np.float32)
         for n, own in enumerate(earlier):
@@ -261,6 +265,7 @@ def near_vectors(
         "vector-classes",
     )
     total = classes.count()
+    kind = "<f4" if dict(read.dtypes)["vector"] == "array<float>" else "<f8"
     share = min(1.0, sample_rows / max(total, 1))
     point = F.pmod(F.xxhash64("k1", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     forests, first_leaf = {}, 0
@@ -281,25 +286,25 @@ def near_vectors(
             sizes = np.diff(vectors.offsets.to_numpy())
             flat = vectors.flatten().to_numpy()
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-            units: list = [None] * len(batch)
+            raw: list = [None] * len(batch)
             leaves: list = [None] * len(batch)
             for dimension in np.unique(sizes).tolist():
                 own = np.flatnonzero(sizes == dimension)
-                unit = unit_rows(flat[starts[own][:, None] + np.arange(dimension)])
+                rows = flat[starts[own][:, None] + np.arange(dimension)].astype(kind)
                 # a dimension that is not in the sample has one leaf
                 base, forest = forests_of().get(dimension, (-dimension, None))
-                routes = forest.route(unit) if forest else [[0]] * len(own)
-                for i, row, found in zip(own.tolist(), unit, routes, strict=True):
-                    units[i] = row.tobytes()
+                routes = forest.route(unit_rows(rows)) if forest else [[0]] * len(own)
+                for i, row, found in zip(own.tolist(), rows, routes, strict=True):
+                    raw[i] = row.tobytes()
                     leaves[i] = (base + np.array(found)).astype("<i8")
             yield pa.record_batch(
                 [
                     batch.column(0),
                     batch.column(2),
-                    pa.array(units, pa.binary()),
+                    pa.array(raw, pa.binary()),
                     pa.array(leaves, pa.list_(pa.int64())),
                 ],
-                names=["node", "copies", "unit", "leaves"],
+                names=["node", "copies", "raw", "leaves"],
             )
 
     def forests_of() -> dict:
@@ -307,28 +312,30 @@ def near_vectors(
 
     routed = staged(
         classes.select("node", "vector", "copies").mapInArrow(
-            route, "node long, copies long, unit binary, leaves array<long>"
+            route, "node long, copies long, raw binary, leaves array<long>"
         ),
         "vector-leaves",
     )
     stuck = [first + leaf for first, forest in forests.values() for leaf in forest.stuck]
     apart = math.sqrt(max(2 - 2 * least, 0.0))
     for turn in range(1, SPLIT_TURNS + 1):
-        routed, more = _split_again(routed, turn, stuck, max(cell_rows, 4 * leaf_rows), leaf_rows, spill * apart, seed)
+        routed, more = _split_again(routed, turn, stuck, max(cell_rows, 4 * leaf_rows), leaf_rows, spill * apart, seed, kind)
         if not more:
             break
     placed = routed.withColumn("leaf", F.explode("leaves"))
     sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
     blocks = sizes.select("leaf", F.when(F.col("n") <= cell_rows, 1).otherwise(F.ceil(F.col("n") / (cell_rows // 2))).cast("int").alias("blocks"))
+    # a cell needs the leaves before its own only
     cells = (
-        placed.join(blocks, "leaf")
+        placed.withColumn("earlier", F.filter("leaves", lambda x: x < F.col("leaf")))
+        .join(blocks, "leaf")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("leaf", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "copies", "unit", "leaves", "block")
+        .select("leaf", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "copies", "raw", "earlier", "block")
     )
 
     def compare(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        return _compare(own, int(key[0]), int(key[1]), int(key[2]), least)
+        return _compare(own, int(key[1]), int(key[2]), least, kind)
 
     found = staged(cells.groupBy("leaf", "low", "high").applyInPandas(compare, "node long, links long, root long"), "vector-links")
     linked = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
