@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.embeddings import OP9_SQL, op9_embeddings
 from marlstone.llm.language import op8_language
+from marlstone.llm.lexical import OP11_SQL, op11_lexical
 from marlstone.llm.mixing import OP5_SQL, op5_mixing
 from marlstone.llm.near_duplicates import OP4_SQL, op4_minhash
 from marlstone.llm.packing import op7_packing
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language,
         op9_embeddings,
         op10_separator_scan,
+        op11_lexical,
     )
 }
 
@@ -40,4 +42,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mixing": OP5_SQL,
     "op6_topk": OP6_SQL,
     "op9_embeddings": OP9_SQL,
+    "op11_lexical": OP11_SQL,
 }
