@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.llm.collocations import OP12_SQL, op12_collocations
 from marlstone.llm.embeddings import OP9_SQL, op9_embeddings
 from marlstone.llm.language import op8_language
 from marlstone.llm.lexical import OP11_SQL, op11_lexical
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_embeddings,
         op10_separator_scan,
         op11_lexical,
+        op12_collocations,
     )
 }
 
@@ -43,4 +45,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_topk": OP6_SQL,
     "op9_embeddings": OP9_SQL,
     "op11_lexical": OP11_SQL,
+    "op12_collocations": OP12_SQL,
 }
