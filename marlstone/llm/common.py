@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.sources.shared import new_path, remove, shared_dir, staged
 from marlstone.sources.tables import load as table
 
-__all__ = ["bounded_batches", "new_path", "private", "remove", "shared_dir", "sized", "staged", "table"]
+__all__ = ["bounded_batches", "new_path", "private", "quoted", "remove", "shared_dir", "sized", "staged", "table"]
 
 
 def sized(keys: DataFrame, most_rows: int = 500_000, most_bytes: int = 64_000_000) -> DataFrame:
@@ -30,6 +30,11 @@ def private(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as expressions take it, whatever dots and backticks it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def bounded_batches(df: DataFrame, most: str = "4m") -> DataFrame:
     """``df``, after the session's Arrow batches have been bounded to a few MB of texts.
 

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from marlstone.llm.common import bounded_batches, new_path, private, sized, staged, table
+from marlstone.llm.common import bounded_batches, new_path, private, quoted, sized, staged, table
 from marlstone.llm.tokens import text_slices
 
 #: Bytes that are no part of a term become blanks, A-Z become a-z.
@@ -154,7 +154,7 @@ def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", coordinat
     columns of other names play no part.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(_quoted(doc_id)).alias("doc_id"), _text_id(_quoted(text)).alias("text_id"), F.col(_quoted(text)).cast("binary").alias("text"))
+    docs = docs.select(F.col(quoted(doc_id)).alias("doc_id"), _text_id(quoted(text)).alias("text_id"), F.col(quoted(text)).cast("binary").alias("text"))
     docs = bounded_batches(docs.filter("text IS NOT NULL"))
     plain = StructType.fromDDL("kind string, text_id binary, n long, places binary, times binary, term binary")
     schema = StructType([*plain.fields, StructField("doc_id", docs.schema["doc_id"].dataType)])
@@ -178,10 +178,6 @@ def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", coordinat
     )
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, text in enumerate(batch.column(1).to_pylist()):
@@ -327,8 +323,8 @@ def search(
     of all; items without any known term have no row.
     """
     spark = queries.sparkSession
-    rank_of, kind = private(queries.select(F.col(_quoted(item)).alias(item)), "rank"), queries.schema[item].dataType
-    asked = queries.select(F.col(_quoted(item)).alias("item"), F.col(_quoted(text)).cast("binary").alias("text"))
+    rank_of, kind = private(queries.select(F.col(quoted(item)).alias(item)), "rank"), queries.schema[item].dataType
+    asked = queries.select(F.col(quoted(item)).alias("item"), F.col(quoted(text)).cast("binary").alias("text"))
     schema = StructType([StructField("item", kind), *StructType.fromDDL("term binary").fields])
     asked = asked.mapInArrow(_asked, schema).distinct().join(found.vocabulary, "term")
     asked = staged(asked.select("item", "term", "df"), "lexical-asked")

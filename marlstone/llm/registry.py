@@ -13,6 +13,7 @@ from marlstone.llm.lexical import OP11_SQL, op11_lexical
 from marlstone.llm.mixing import OP5_SQL, op5_mixing
 from marlstone.llm.near_duplicates import OP4_SQL, op4_minhash
 from marlstone.llm.packing import op7_packing
+from marlstone.llm.quality import op13_quality
 from marlstone.llm.secrets import OP1_SQL, op1_secrets
 from marlstone.llm.separators import op10_separator_scan
 from marlstone.llm.sharding import op3_sharding
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_separator_scan,
         op11_lexical,
         op12_collocations,
+        op13_quality,
     )
 }
 
