@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marlstone.operators.running import Running, running
+
 
 def asof_join(
     left: DataFrame,
@@ -21,9 +23,10 @@ def asof_join(
 
     ``backward`` takes the latest right row not after the left row, ``forward`` the earliest not
     before it; ``strict`` leaves out rows of equal time. Rows meet within equal ``by`` columns. Both
-    sides go into one sort by key and time, in which the last right row so far is carried along: one
-    shuffle and no join. Among right rows of equal time the last in order of ``values`` counts. Left
-    rows without a match, or with a null time or key, get nulls.
+    sides go into one scan by key and time, in which the last right row so far is carried along: no
+    join, and hot keys are cut into pieces of time (see :func:`running`). Among right rows of equal
+    time the last in order of ``values`` counts. Left rows without a match, or with a null time or
+    key, get nulls.
     """
     if direction not in ("backward", "forward"):
         raise ValueError("direction must be backward or forward")
@@ -37,20 +40,14 @@ def asof_join(
     rights = right.filter(F.col(right_on).isNotNull()).select(
         *[F.col(c) for c in by], F.col(right_on).alias("_at"), F.lit(None).cast(lefts.schema["_left"].dataType).alias("_left"), found.alias("_right")
     )
-    is_left = F.col("_left").isNotNull().cast("int")
-    at = F.col("_at").asc_nulls_first() if direction == "backward" else F.col("_at").desc_nulls_first()
-    order = W.partitionBy(*by).orderBy(at, is_left.desc() if strict else is_left, F.col("_right"))
-    nearest = F.last("_right", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    keyed = F.lit(True)
+    both = lefts.unionByName(rights).withColumn("_is_left", F.col("_left").isNotNull().cast("int"))
+    order = [("_at", direction == "backward"), ("_is_left", not strict), ("_right", True)]
+    keyed = F.col("_at").isNotNull()
     for c in by:
         keyed = keyed & F.col(c).isNotNull()
-    usable = keyed & F.col("_at").isNotNull()
-    return (
-        lefts.unionByName(rights)
-        .withColumn("_found", F.when(usable, nearest))
-        .filter("_left IS NOT NULL")
-        .select("_left.*", *[F.col(f"_found.{c}").alias(c) for c in values])
-    )
+    found = running(both.filter(keyed), by, order, {"_found": Running("last", "_right")}).filter("_is_left = 1")
+    alone = both.filter(~keyed & (F.col("_is_left") == 1)).withColumn("_found", F.lit(None).cast(both.schema["_right"].dataType))
+    return found.unionByName(alone).select("_left.*", *[F.col(f"_found.{c}").alias(c) for c in values])
 
 
 def range_join(
@@ -70,6 +67,49 @@ def range_join(
     return pairs.filter((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bucket")
 
 
+def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], bits: int = 2) -> DataFrame:
+    """Pairs of a row of ``left`` and a row of ``right`` whose spans [low, high) of whole numbers overlap; no equi key needed.
+
+    Cells of level n are 2 ** (``bits`` * n) long. A span lives at the lowest level whose cells are no
+    shorter than itself, so it touches at most two of them, and of those of any level above. Rows
+    meet by an equi-join on level and cell at the higher of their two levels: the row of the lower
+    one is repeated for each level above that the other side has in use, so copies grow with the
+    logarithm of the longest span, not with its length. Of two cells that a pair shares the first
+    reports it. Empty spans and those with a null end overlap nothing; a span must be shorter than
+    2 ** 62. Columns of the two sides must differ.
+    """
+    top = 62 // bits
+
+    def housed(df: DataFrame, span: tuple[str, str], side: str) -> DataFrame:
+        low, high = (F.col(c).cast("long") for c in span)
+        level = F.lit(top)
+        for n in reversed(range(top)):
+            level = F.when(high - low <= F.lit(1 << (bits * n)), n).otherwise(level)
+        return df.filter(low < high).withColumns({f"_{side}_low": low, f"_{side}_last": high - 1, f"_{side}_level": level})
+
+    def celled(df: DataFrame, side: str) -> DataFrame:
+        first, last = (F.expr(f"shiftright(_{side}_{end}, {bits} * _level)") for end in ("low", "last"))
+        return df.withColumn(f"_{side}_first", first).withColumn("_cell", F.explode(F.sequence(first, last)))
+
+    def levels(df: DataFrame, side: str) -> list[int]:
+        return sorted(r[0] for r in df.select(f"_{side}_level").distinct().collect())
+
+    sides = {"l": housed(left, left_span, "l"), "r": housed(right, right_span, "r")}
+    found = None
+    for home, guest in (("r", "l"), ("l", "r")):
+        # pairs of equal levels meet where the right side is at home
+        least = f"_{guest}_level + {0 if guest == 'l' else 1}"
+        above = F.expr(f"filter(array({', '.join(map(str, levels(sides[home], home)))}), n -> n >= {least})").cast("array<int>")
+        guests = celled(sides[guest].withColumn("_level", F.explode(above)), guest)
+        hosts = celled(sides[home].withColumn("_level", F.col(f"_{home}_level")), home)
+        met = guests.join(hosts, ["_level", "_cell"]).filter(
+            "_l_low <= _r_last AND _r_low <= _l_last AND _cell = greatest(_l_first, _r_first)"
+        )
+        met = met.select(*left.columns, *right.columns)
+        found = met if found is None else found.unionByName(met)
+    return found
+
+
 def skew_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """Join in which a hot key of ``large`` is dealt to ``salts`` tasks and ``small`` is repeated for each."""
     if how not in ("inner", "left", "left_semi", "left_anti"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators.joins import asof_join, not_in, range_join, skew_join, top_per_group
+from marlstone.operators.joins import asof_join, not_in, overlap_join, range_join, skew_join, top_per_group
 from marlstone.plans.registry import query
 from marlstone.sources.tables import load, register
 
@@ -102,6 +102,27 @@ def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join(points, ranges, "p_retailprice", "low", "high", 10).select("p_partkey", "s_suppkey")
 
 
+_BANDS = """
+SELECT p.p_partkey, s.s_suppkey, least(p.p_high, s.s_high) - greatest(p.p_low, s.s_low) AS shared
+FROM (SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS p_low,
+             CAST(round(p_retailprice * 100) AS BIGINT) + p_size * p_size AS p_high FROM part) p
+JOIN (SELECT s_suppkey, CAST(round(s_acctbal * 100) AS BIGINT) AS s_low,
+             CAST(round(s_acctbal * 100) AS BIGINT) + (1 << (s_nationkey % 18)) AS s_high FROM supplier) s
+ON p.p_low < s.s_high AND s.s_low < p.p_high
+"""
+
+
+@query(_BANDS)
+def join_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price bands of parts and balance bands of suppliers, 1 to 131,072 cents long, that overlap."""
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    parts = load(spark, sf_dir, "part").select("p_partkey", cents("p_retailprice").alias("p_low"), (cents("p_retailprice") + F.col("p_size") * F.col("p_size")).alias("p_high"))
+    width = F.expr("shiftleft(1, s_nationkey % 18)")
+    suppliers = load(spark, sf_dir, "supplier").select("s_suppkey", cents("s_acctbal").alias("s_low"), (cents("s_acctbal") + width).alias("s_high"))
+    shared = F.least("p_high", "s_high") - F.greatest("p_low", "s_low")
+    return overlap_join(parts, suppliers, ("p_low", "p_high"), ("s_low", "s_high")).select("p_partkey", "s_suppkey", shared.alias("shared"))
+
+
 @query("""
 SELECT p.event_id, p.user_id, v.event_id AS view_id, v.value AS view_value
 FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') p
@@ -150,9 +171,9 @@ def join_correlated_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT l.l_orderkey, l.l_linenumber, o.o_orderpriority FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_discount = 0")
+@query("SELECT l.l_orderkey, l.l_linenumber, o.o_orderpriority FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey ")
 def join_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = load(spark, sf_dir, "lineitem").filter("l_discount = 0").select(F.col("l_orderkey").alias("key"), "l_linenumber")
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber")
     orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), "o_orderpriority")
     return skew_join(lines, orders, ["key"]).select(F.col("key").alias("l_orderkey"), "l_linenumber", "o_orderpriority")
 

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.operators.joins import top_per_group
+from marlstone.operators.running import Running, running
 from marlstone.plans.registry import query
+from marlstone.sources.shared import staged
 from marlstone.sources.tables import load, register
 
 _BY_PRICE = "OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)"
@@ -68,9 +70,24 @@ SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGN
 FROM events
 """)
 def window_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    so_far = W.partitionBy("user_id").orderBy("ts").rowsBetween(W.unboundedPreceding, W.currentRow)
     bought = F.when(F.col("event_type") == "purchase", F.col("value"))
-    return load(spark, sf_dir, "events").select("event_id", F.last(bought, ignorenulls=True).over(so_far).alias("last_bought"))
+    events = load(spark, sf_dir, "events").select("event_id", "user_id", "ts", bought.alias("bought"))
+    carried = running(events, ["user_id"], [("ts", True)], {"last_bought": Running("last", "bought")})
+    return carried.select("event_id", "last_bought")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_returnflag,
+       sum(l_quantity) OVER w AS so_far, coalesce(max(l_extendedprice) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS most_before
+FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber)
+""")
+def window_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running sum and maximum over three keys, each with a third of all rows, which are cut into pieces of time."""
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate", "l_quantity", "l_extendedprice")
+    order = [("l_shipdate", True), ("l_orderkey", True), ("l_linenumber", True)]
+    values = {"so_far": Running("sum", "l_quantity"), "most": Running("max", "l_extendedprice", strict=True)}
+    done = running(lines, ["l_returnflag"], order, values)
+    return done.select("l_orderkey", "l_linenumber", "l_returnflag", "so_far", F.coalesce("most", F.lit(-1.0)).alias("most_before"))
 
 
 @query("""
@@ -82,10 +99,11 @@ WITH marked AS (
 SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS began, max(ts) AS ended FROM numbered GROUP BY user_id, session
 """)
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_time = W.partitionBy("user_id").orderBy("ts")
-    goes_on = F.col("ts") - F.lag("ts").over(by_time) <= F.expr("INTERVAL '6' HOUR")
-    marked = load(spark, sf_dir, "events").withColumn("starts", F.when(goes_on, 0).otherwise(1))
-    numbered = marked.withColumn("session", F.sum("starts").over(by_time.rowsBetween(W.unboundedPreceding, 0)))
+    events, by_time = load(spark, sf_dir, "events").select("user_id", "ts", "event_id"), [("ts", True), ("event_id", True)]
+    before = running(events, ["user_id"], by_time, {"before": Running("last", "ts", strict=True)})
+    goes_on = F.col("ts") - F.col("before") <= F.expr("INTERVAL '6' HOUR")
+    marked = staged(before.withColumn("starts", F.when(goes_on, 0).otherwise(1)), "session-starts")
+    numbered = running(marked, ["user_id"], by_time, {"session": Running("sum", "starts")})
     return numbered.groupBy("user_id", "session").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("began"), F.max("ts").alias("ended")
     )

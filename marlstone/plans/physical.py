@@ -13,12 +13,12 @@ from marlstone.sources.tables import load
 from marlstone.streaming.runs import drained, stream_of
 
 _PAIRS = """
-SELECT l.l_orderkey, l.l_linenumber, o.o_orderstatus FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_quantity < 5
+SELECT l.l_orderkey, l.l_linenumber, o.o_orderstatus FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 """
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = load(spark, sf_dir, "lineitem").filter("l_quantity < 5").select("l_orderkey", "l_linenumber")
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     return lines, load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,16 @@ from marlstone.sources.shared import new_path
 def stream_of(spark: SparkSession, sf_dir: str, name: str, event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
     """The table ``name`` as a file stream, new files as they come.
 
+    A table may be one file or a folder of part files, as Spark writes it.
     ``event_time`` becomes a timestamp with time zone, as watermarks ask for, with a watermark of ``delay``.
     """
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    reader = spark.readStream.schema(schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        stream = reader.parquet(f"{sf_dir}/{name}.parquet")
+    else:
+        stream = reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     if event_time is None:
         return stream
     return stream.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay)
@@ -68,6 +75,18 @@ def running_totals(stream: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started herein keep their state in RocksDB, as stateful processors ask for; the session's setting comes back after."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class _Kinds(StatefulProcessor):
     """Keeps the distinct values of a key in a map, and tells their number."""
 
@@ -93,11 +112,7 @@ class _Kinds(StatefulProcessor):
 
 
 def distinct_values(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """Number of distinct ``value`` of every key so far, by a stateful processor; its state is kept in RocksDB."""
-    stream.sparkSession.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+    """Number of distinct ``value`` of every key so far, by a stateful processor; it must run with :func:`rocksdb_state`."""
     kinds = dict(stream.dtypes)
     return stream.groupBy(key).transformWithStateInPandas(
         _Kinds(key, value, kinds[value]), f"{key} {kinds[key]}, kinds long", "Update", "None"
