@@ -22,11 +22,20 @@ EXACT_DOUBLE, EXACT_LONG = 2.0**53, 2.0**63
 
 
 def quantized(vector: Column, scale: int = 256) -> Column:
-    """floor(``scale`` * x) of every component x, taken as double; null without any, or if one is null or not finite."""
+    """floor(``scale`` * x) of every component x, taken as double; null without any, or if one is null or not finite.
+
+    A component whose value is beyond a long is an error, never another number.
+    """
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    beyond = F.raise_error(F.lit("a component of a vector, times the scale, is beyond 64 bits")).cast("long")
+
+    def whole(x: Column) -> Column:
+        scaled = x.cast("double") * scale
+        return F.when((scaled >= -EXACT_LONG) & (scaled < EXACT_LONG), F.floor(scaled).cast("long")).otherwise(beyond)
+
     return F.when(
         F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & fine, F.lit(False)),
-        F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")),
+        F.transform(vector, whole),
     )
 
 

@@ -90,3 +90,18 @@ def test_far_cells_are_not_asked(spark):
 def test_query_on_embeddings(spark, small):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
     assert {tuple(r) for r in op6_topk(spark, small).collect()} == plain(rows, [i for i, _ in rows if i % 50 == 0], 5)
+
+
+def test_components_beyond_a_long_are_an_error(spark):
+    def scores(*vectors):
+        df = spark.createDataFrame([(50 * i, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        return {(r.query_id, r.vec_id): r.score for r in top_k(df.filter("vec_id = 0"), df).collect()}
+
+    for big in (1e17, 1e20, -1e20, 1e30):
+        with pytest.raises(Exception, match="beyond"):
+            scores([1 / 256, 0.0], [big, 0.0], [-0.5, big])
+    big = 2.0**54  # 2 ** 62 after scaling, the largest power of two that fits with both signs
+    got = scores([1 / 256, 0.0], [big, 0.0], [-big, 1.0])
+    assert got[0, 50] == 2**62 and got[0, 100] == -(2**62)
+    with pytest.raises(Exception, match="beyond"):
+        scores([1.0, 0.0], [2.0**55, 0.0])
