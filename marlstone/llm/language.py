@@ -101,15 +101,17 @@ def train(
     """Fit the model on rows of (doc_id, text, ``label``).
 
     Of each language about ``docs_a_language`` documents are used, whole, chosen by a hash of the
-    doc_id; languages with fewer give all. Of labels, the ``most_languages`` with most documents are
-    learnt (ties: the one that sorts first), so dirty labels can't fill the driver: what reaches it is one
-    count for each of these and bucket, at most ``most_languages`` times 2 ** ``bits``. Rows without text
-    or label teach nothing; without any such row the model knows no language. Repeated rows count as
-    often as they occur, and columns of other names play no part.
+    doc_id; languages with fewer give all. Every label is learnt; more than ``most_languages`` are an
+    error, as the model would outgrow the driver, which gets one count for each label and bucket.
+    Rows without text or label teach nothing; without any such row the model knows no language.
+    Texts of any length are learnt whole. Repeated rows count as often as they occur, and columns of
+    other names play no part.
     """
     labelled = bounded_batches(docs).select("doc_id", "text", F.col(label).alias("lang")).filter("text is not null and lang is not null")
-    known = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), "lang").limit(most_languages)
+    known = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).limit(most_languages + 1)
     prior = {r.lang: r["docs"] for r in known.collect()}
+    if len(prior) > most_languages:
+        raise ValueError(f"more than {most_languages} labels in {label}: clean them, or raise most_languages")
     if not prior:
         return LanguageModel([], np.zeros(0), np.zeros((1 << bits, 0)), tuple(sizes), bits)
     shares = F.create_map(*[F.lit(x) for lang, n in prior.items() for x in (lang, min(1.0, docs_a_language / n))])
@@ -158,7 +160,9 @@ def predict(docs: DataFrame, model: LanguageModel, unknown: str = "und") -> Data
 
     ``score`` is the posterior probability of the predicted language, from 0 to 1. Texts that are
     null or hold no letter are ``unknown`` with score 0, as is every text if the model knows no
-    language. Ties go to the language that sorts first.
+    language. Ties go to the language that sorts first. Texts of any length are read whole, in
+    stretches; repeated rows give repeated rows; null ids stay; an empty table stays empty; columns
+    of other names play no part.
     """
     return predict_beside(docs.select("doc_id", "text"), model, "found", unknown).select("doc_id", "found.*")
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 from marlstone.llm.language import held_out, op8_language, predict, train
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -57,8 +58,7 @@ def plain_buckets(text, sizes=(1, 2, 3), bits=16):
 def test_query_equals_plain_naive_bayes(spark, small):
     """All of the query by plain Python: every label's documents are learnt, as there are fewer than the sample's bound."""
     rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").collect()
-    rows = [r for r in rows if len(r.text or "") < 3000]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert max(len(r.text or "") for r in rows) > 3000
     counts, docs_of = defaultdict(Counter), Counter()
     for r in rows:
         if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
@@ -75,7 +75,7 @@ def test_query_equals_plain_naive_bayes(spark, small):
         best = max(range(len(langs)), key=lambda i: (joint[i], -i))
         return langs[best], 1 / sum(math.exp(j - joint[best]) for j in joint)
 
-    got = predict(docs, train(docs.filter(~held_out(F.col("doc_id"))))).collect()
+    got = op8_language(spark, small).collect()
     assert len(got) == len(rows)
     texts = {r.doc_id: r.text for r in rows}
     for r in got:
@@ -89,10 +89,12 @@ def test_ties_go_to_the_language_that_sorts_first(spark):
     assert row.lang_pred == "aa" and abs(row.score - 1 / 3) < 1e-9
 
 
-def test_labels_are_bounded(spark):
-    rows = [(i, "word text", f"dirty {i}") for i in range(300)] + [(1000 + i, "the word", "en") for i in range(5)]
-    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=4)
-    assert len(model.languages) == 4 and "en" in model.languages
+def test_too_many_labels_are_refused(spark):
+    rows = [(i, "word text", f"dirty {i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(train(docs, most_languages=30).languages) == 30
+    with pytest.raises(ValueError, match="labels"):
+        train(docs, most_languages=29)
 
 
 def test_columns_of_any_name_play_no_part(spark):
