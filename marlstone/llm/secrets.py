@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import private, staged, table
+from marlstone.llm.common import private, quoted, staged, table
 
 #: kind: (pattern, group that holds the secret, least length of that group), in the order of reports. Fixed values.
 KINDS = {
@@ -281,7 +281,7 @@ def with_candidates(docs: DataFrame, columns: list[str], into: str) -> DataFrame
         ),
     )
     found = F.struct(F.col(base).alias("base"), F.when(F.col(placed[RANDOM]).isNotNull(), tested).alias("free"))
-    return rows.withColumn(base, F.array_sort(F.concat(*known))).select(*columns, found.alias(into))
+    return rows.withColumn(base, F.array_sort(F.concat(*known))).select(*map(quoted, columns), found.alias(into))
 
 
 def false_discovery_steps(candidates: DataFrame, rate: float) -> dict[int, int]:
@@ -336,7 +336,7 @@ def find_secrets(docs: DataFrame, rate: float = 0.01, columns: list[str] | None
     none = F.expr("cast(array() AS array<struct<start: bigint, kind: int, end: bigint>>)")
     base = F.col(f"{into}.base")
     spans = F.array_sort(F.concat(base, F.coalesce(added, none)))
-    return scanned.select(*columns, F.struct(base.alias("base"), spans.alias("spans")).alias(into))
+    return scanned.select(*map(quoted, columns), F.struct(base.alias("base"), spans.alias("spans")).alias(into))
 
 
 def spans_text(spans: Column) -> Column:
