@@ -13,6 +13,8 @@ from marlstone.llm.common import sized, staged, table
 
 #: Exponents are multiples of 1 / GRID.
 GRID = 1024
+#: How often a source is repeated at most if only its evenness is asked for.
+MOST_REPEATS = 16.0
 
 
 def bisect_exponent(holds: Callable[[float], bool], lowest: bool) -> float:
@@ -38,9 +40,10 @@ def source_weights(
 
     The exponent is bisected between 0 (even) and 1 (as found): the highest at which the entropy of
     the weights is at least ``evenness`` times that of even weights, or the lowest at which no
-    source is repeated more than ``max_repeats`` times. Repeats are those of a budget of all tokens
-    or, if ``whole``, of the least budget in which every source occurs whole. Each trial is one
-    aggregate over the sources, which stay in Spark. Sources without tokens have no weight.
+    source is repeated more than ``max_repeats`` times; given both, the higher of the two, as the
+    limit binds. Repeats are those of a budget of all tokens or, if ``whole``, of the least budget in
+    which every source occurs whole. Each trial is one aggregate over the sources, which stay in
+    Spark. Sources without tokens have no weight.
     """
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     own = sources.filter("tokens > 0").withColumn("share", F.col("tokens") / F.lit(float(max(total, 1))))
@@ -58,9 +61,10 @@ def source_weights(
         z, most, least = own.agg(F.sum(raised), F.max(repeats), F.min(repeats)).first()
         return z is None or most / (least if whole else z) <= max_repeats
 
-    if (evenness is None) == (max_repeats is None):
-        raise ValueError("give either evenness or max_repeats")
-    exponent = bisect_exponent(entropy_is_enough, False) if max_repeats is None else bisect_exponent(repeats_are_few, True)
+    if evenness is None and max_repeats is None:
+        raise ValueError("give evenness or max_repeats")
+    even = 0.0 if evenness is None else bisect_exponent(entropy_is_enough, False)
+    exponent = even if max_repeats is None else max(even, bisect_exponent(repeats_are_few, True))
     z = own.agg(F.sum(F.pow("share", F.lit(exponent)))).first()[0]
     weighted = own.withColumn("weight", F.pow("share", F.lit(exponent)) / F.lit(z or 1.0)).select("source", "weight")
     return weighted, exponent
@@ -74,6 +78,11 @@ def _number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
+def text_digest(text: Column) -> Column:
+    """MD5 of a text, null as empty: what tells documents of one id, or of none, apart."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def mix_sources(
     docs: DataFrame,
     evenness: float | None = None,
@@ -92,22 +101,28 @@ def mix_sources(
     likewise; a source's budget is filled with whole epochs and part of a last one, which ends with
     the document that reaches the budget. ``tokens`` counts a document's tokens, by default words.
 
-    Returns one row per chosen document and epoch: doc_id, source, epoch, block, block_rank, place
-    (in the block), tokens, first_token (place in the source's stream). Null sources count as the
-    empty name, null texts have no tokens; rows that repeat a doc_id count once, those without one
-    take no part. An empty table gives no rows.
+    Returns one row per chosen document and epoch: doc_id, text_md5, source, epoch, block, block_rank,
+    place (in the block), tokens, first_token (place in the source's stream). With ``evenness`` alone
+    sources are repeated up to MOST_REPEATS times, so that a tiny one beside a huge one makes a bounded
+    number of rows. Null sources count as the empty name, null texts have no tokens; a text of any
+    length is one document; rows equal in doc_id and text count once, under their first source, and
+    rows of one doc_id and different texts are different documents, as are those without doc_id. Equal
+    digests are ordered by doc_id and text. Columns of other names play no part. An empty table gives
+    no rows.
     """
+    if max_repeats is None:
+        max_repeats = MOST_REPEATS
     counted = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) if tokens is None else tokens
     rows = staged(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
+            text_digest(F.col("text")).alias("text_md5"),
             F.coalesce("source", F.lit("")).alias("source"),
             counted.cast("long").alias("tokens"),
         )
-        .filter("doc_id IS NOT NULL")
-        .groupBy("doc_id")
+        .groupBy("doc_id", "text_md5")
         .agg(F.min(F.struct("source", "tokens")).alias("one"))
-        .select("doc_id", "one.source", "one.tokens"),
+        .select("doc_id", "text_md5", "one.source", "one.tokens", F.coalesce(F.col("doc_id").cast("string"), "text_md5").alias("name")),
         "mix-rows",
     )
     sources = staged(rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mix-sources")
@@ -123,16 +138,16 @@ def mix_sources(
         .select(
             "source",
             F.col("tokens").alias("source_tokens"),
-            F.col("full").cast("int").alias("full"),
+            F.col("full").cast("long").alias("full"),
             (F.col("budget") - F.col("full") * F.col("tokens")).alias("rest"),
             F.greatest(F.lit(1), F.ceil(F.col("docs") / F.lit(block_docs))).cast("long").alias("blocks"),
         )
     )
-    epochs = F.sequence(F.lit(0), F.when(F.col("rest") > 0, F.col("full")).otherwise(F.col("full") - 1))
+    epochs = F.sequence(F.lit(0).cast("long"), F.when(F.col("rest") > 0, F.col("full")).otherwise(F.col("full") - 1))
     dealt = (
         rows.join(sized(staged(planned, "mix-plan")), "source")
         .filter("full > 0 OR rest > 0")
-        .withColumn("block", F.pmod(_number(_digest(seed, F.col("doc_id"))), F.col("blocks")))
+        .withColumn("block", F.pmod(_number(_digest(seed, F.col("name"))), F.col("blocks")))
     )
     sums = (
         dealt.groupBy("source", "block", "source_tokens", "full", "rest")
@@ -165,17 +180,18 @@ def mix_sources(
         .select("source", "block", "epoch", "block_rank", "before", "limit", "whole_block")
     )
     placed = (
-        dealt.select("doc_id", "source", "tokens", "block", "source_tokens")
+        dealt.select("doc_id", "text_md5", "name", "source", "tokens", "block", "source_tokens")
         .join(ranked, ["source", "block"])
-        .withColumn("order", _digest(seed, F.col("epoch"), F.col("doc_id")))
+        .withColumn("order", _digest(seed, F.col("epoch"), F.col("name")))
     )
-    by_block = W.partitionBy("source", "block", "epoch").orderBy("order", "doc_id")
+    by_block = W.partitionBy("source", "block", "epoch").orderBy("order", F.asc_nulls_last("doc_id"), "text_md5")
     return (
         placed.withColumn("place", F.row_number().over(by_block) - 1)
         .withColumn("reached", F.col("before") + F.sum("tokens").over(by_block) - F.col("tokens"))
         .filter("whole_block OR reached < limit")
         .select(
             "doc_id",
+            "text_md5",
             "source",
             "epoch",
             "block",
@@ -192,27 +208,30 @@ QUERY_EVENNESS = 0.95
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mix the sources of ``documents`` to 95 % of the highest entropy, within a budget of all tokens."""
+    """Mix the sources of ``documents`` to 95 % of the highest entropy, each at most 16 times, within a budget of all tokens."""
     return mix_sources(table(spark, sf_dir, "documents"), evenness=QUERY_EVENNESS)
 
 
 OP5_SQL = f"""
 WITH docs AS (
-    SELECT doc_id, coalesce(source, '') AS source,
+    SELECT doc_id, md5(coalesce(text, '')) AS text_md5, min(coalesce(source, '')) AS source,
            CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens
-    FROM documents WHERE doc_id IS NOT NULL
+    FROM documents GROUP BY doc_id, coalesce(text, '')
+), named AS (
+    SELECT *, coalesce(CAST(doc_id AS VARCHAR), text_md5) AS name FROM docs
 ), sources AS (
     SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS docs FROM docs GROUP BY source
 ), own AS (
     SELECT source, tokens, docs, tokens / (SELECT CAST(sum(tokens) AS DOUBLE) FROM sources) AS share
     FROM sources WHERE tokens > 0
 ), trials AS (
-    SELECT k, ln(z) - k / {GRID}.0::DOUBLE * dot / z AS entropy
-    FROM (SELECT k, sum(pow(share, k / {GRID}.0::DOUBLE)) AS z, sum(pow(share, k / {GRID}.0::DOUBLE) * ln(share)) AS dot
+    SELECT k, ln(z) - k / {GRID}.0::DOUBLE * dot / z AS entropy, most / z AS repeats
+    FROM (SELECT k, sum(pow(share, k / {GRID}.0::DOUBLE)) AS z, sum(pow(share, k / {GRID}.0::DOUBLE) * ln(share)) AS dot,
+                 max(pow(share, k / {GRID}.0::DOUBLE) / share) AS most
           FROM own, range({GRID} + 1) AS t(k) GROUP BY k)
 ), best AS (
-    SELECT coalesce(max(k), 0) / {GRID}.0::DOUBLE AS exponent FROM trials
-    WHERE entropy >= {QUERY_EVENNESS}::DOUBLE * ln((SELECT count(*) FROM own))
+    SELECT greatest((SELECT coalesce(max(k), 0) FROM trials WHERE entropy >= {QUERY_EVENNESS}::DOUBLE * ln((SELECT count(*) FROM own))),
+                    (SELECT coalesce(min(k), {GRID}) FROM trials WHERE repeats <= {MOST_REPEATS}::DOUBLE)) / {GRID}.0::DOUBLE AS exponent
 ), budgets AS (
     SELECT source, tokens AS source_tokens, greatest(1, CAST(ceil(docs / 1024.0) AS BIGINT)) AS blocks,
            CAST(floor(pow(share, exponent) / (SELECT sum(pow(share, exponent)) FROM own, best)
@@ -221,9 +240,9 @@ WITH docs AS (
 ), planned AS (
     SELECT *, budget // source_tokens AS n_full, budget % source_tokens AS rest FROM budgets
 ), dealt AS (
-    SELECT d.doc_id, d.source, d.tokens, p.* EXCLUDE (source),
-           CAST('0x' || substr(md5('mix:' || d.doc_id), 1, 8) AS BIGINT) % p.blocks AS block
-    FROM docs d JOIN planned p USING (source)
+    SELECT d.doc_id, d.text_md5, d.name, d.source, d.tokens, p.* EXCLUDE (source),
+           CAST('0x' || substr(md5('mix:' || d.name), 1, 8) AS BIGINT) % p.blocks AS block
+    FROM named d JOIN planned p USING (source)
 ), sums AS (
     SELECT source, block, source_tokens, n_full, rest, sum(tokens) AS block_tokens FROM dealt GROUP BY ALL
 ), epochs AS (
@@ -234,13 +253,13 @@ WITH docs AS (
     WINDOW o AS (PARTITION BY source, epoch ORDER BY md5('mix:' || source || ':' || epoch || ':' || block), block
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), placed AS (
-    SELECT d.doc_id, d.source, r.epoch, d.block, r.block_rank, row_number() OVER o - 1 AS place, d.tokens,
+    SELECT d.doc_id, d.text_md5, d.source, r.epoch, d.block, r.block_rank, row_number() OVER o - 1 AS place, d.tokens,
            r.before + sum(d.tokens) OVER o - d.tokens AS reached, d.source_tokens, d.n_full, d.rest
     FROM dealt d JOIN ranked r ON d.source = r.source AND d.block = r.block
-    WINDOW o AS (PARTITION BY d.source, d.block, r.epoch ORDER BY md5('mix:' || r.epoch || ':' || d.doc_id), d.doc_id
+    WINDOW o AS (PARTITION BY d.source, d.block, r.epoch ORDER BY md5('mix:' || r.epoch || ':' || d.name), d.doc_id, d.text_md5
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 )
-SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, block, CAST(block_rank AS BIGINT) AS block_rank,
+SELECT doc_id, text_md5, source, epoch, block, CAST(block_rank AS BIGINT) AS block_rank,
        CAST(place AS BIGINT) AS place, tokens, CAST(epoch * source_tokens + reached AS BIGINT) AS first_token
 FROM placed WHERE epoch < n_full OR reached < rest
 """

@@ -1,9 +1,11 @@
 """Mixing: weights, budgets and permutations."""
 
+import hashlib
 import math
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.llm.mixing import bisect_exponent, mix_sources, source_weights
 
@@ -53,10 +55,24 @@ def test_budgets_and_permutations(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(1, None, None), (1, None, None), (2, "", "a"), (3, "x y z", "a"), (None, "gone", "a"), (4, "q", "b")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rows = [(1, None, None), (1, None, None), (2, "", "a"), (3, "x y z", "a"), (None, "gone", "a"), (4, "q", "b"), (None, None, "b")]
+    rows += [(3, "another text", "b"), (3, "x y z", "c"), (None, "gone", "a"), (5, "long " * 300_000, "a")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, name int, `a.b` int")
     got = mix_sources(docs, evenness=1.0, whole=True).collect()
-    assert {1, 2, 3, 4} == {r.doc_id for r in got} and Counter(r.doc_id for r in got)[1] == 1
+    first = Counter((r.doc_id, r.text_md5) for r in got if r.epoch == 0)
+    md5 = lambda t: hashlib.md5((t or "").encode()).hexdigest()
+    assert first == {(d, md5(t)): 1 for d, t, _ in rows}
+    assert {r.source for r in got if r.text_md5 == md5("x y z")} == {"a"}
     assert mix_sources(docs.limit(0), evenness=0.9).count() == 0
     with pytest.raises(ValueError):
         source_weights(docs.selectExpr("source", "doc_id AS tokens"))
+
+
+def test_a_tiny_source_beside_a_huge_one(spark):
+    """One word beside 10 ** 10 tokens: repeated as often as allowed, no overflow, no lost source."""
+    rows = [(0, "word", "tiny", 1)] + [(i, "x", "huge", 5 * 10**6) for i in range(1, 2001)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, own long")
+    times = Counter(r.source for r in mix_sources(docs, evenness=0.999, tokens=F.col("own")).select("source").collect())
+    assert 1 <= times["tiny"] <= 16 and times["huge"] > 1900
+    sources = spark.createDataFrame([("a", 10**10), ("b", 1)], "source string, tokens long")
+    assert source_weights(sources, evenness=1.0)[1] == 0 < source_weights(sources, evenness=1.0, max_repeats=4.0)[1]
