@@ -10,7 +10,8 @@ from pyspark.sql.types import IntegerType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from marlstone.plans.registry import query
-from marlstone.sources.shared import new_path
+from marlstone.sources.ledger import Ledger
+from marlstone.sources.shared import new_path, staged
 from marlstone.sources.tables import load
 from marlstone.sources.upserts import upsert
 from marlstone.streaming.runs import drained, rocksdb_state, stream_of
@@ -101,3 +102,24 @@ def table_function_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = new_path(spark, "events").rsplit("-", 1)[1]
     events.createOrReplaceTempView(f"funnel_events_{name}")
     return spark.sql(call.format(events=f"funnel_events_{name}"))
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' AND user_id < 100")
+def stream_custom_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events through a sink and a source of our own: written in two batches, streamed from the one to the other, read with filters in the scan."""
+    spark.dataSource.register(Ledger)
+    events = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    first, second, state = (new_path(spark, f"ledger-{n}") for n in ("first", "second", "state"))
+    for half in ("event_id % 2 = 0", "event_id % 2 <> 0 OR event_id IS NULL"):
+        events.filter(half).write.format("ledger").mode("append").save(first)
+    stream = spark.readStream.format("ledger").schema(events.schema).load(first)
+    run = stream.writeStream.format("ledger").option("checkpointLocation", state).option("path", second).trigger(availableNow=True).start()
+    run.awaitTermination()
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        read = spark.read.format("ledger").option("pushdown", "true").schema(events.schema).load(second)
+        return staged(read.filter("event_type = 'purchase' AND user_id < 100").select("event_id", "user_id", "value"), "ledger-read")
+    finally:
+        spark.conf.set(key, before)
