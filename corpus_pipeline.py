@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import private, sized, staged, table
+from marlstone.llm.common import private, quoted, sized, staged, table
 from marlstone.llm.language import predict_beside, train
-from marlstone.llm.mixing import mix_sources
+from marlstone.llm.mixing import mix_sources, text_digest
 from marlstone.llm.near_duplicates import near_duplicates
 from marlstone.llm.packing import pack_documents
 from marlstone.llm.secrets import find_secrets, redacted
@@ -24,7 +24,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     found = private(docs, "found")
     judged = predict_beside(docs, train(docs), found)
-    return judged.filter(f"{found}.lang_pred != 'und' AND {found}.score >= 0.5").select(*docs.columns)
+    return judged.filter(f"{found}.lang_pred != 'und' AND {found}.score >= 0.5").select(*map(quoted, docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,15 +41,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keys = (F.col(doc_id) == F.col("k.own_id")) & (F.col(text_hash) == F.col("k.own_hash"))
     renamed = [F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")]
     dropped = staged(found.filter("NOT chosen").select(*renamed).distinct(), "pipeline-dropped")
-    left = keyed.join(sized(dropped).alias("k"), keys, "left_anti")
+    left, columns = keyed.join(sized(dropped).alias("k"), keys, "left_anti"), [quoted(c) for c in docs.columns]
     repeated = found.filter("chosen AND doc_id IS NOT NULL").groupBy(*renamed).count().filter("count > 1").drop("count")
     repeated = staged(repeated, "pipeline-repeated")
     if repeated.isEmpty():
-        return left.select(*docs.columns)
+        return left.select(*columns)
     # Spark keeps one row of each key in every task before it shuffles them
-    nth = F.row_number().over(W.partitionBy(doc_id, text_hash).orderBy(F.to_json(F.struct(*docs.columns))))
+    nth = F.row_number().over(W.partitionBy(doc_id, text_hash).orderBy(F.to_json(F.struct(*columns))))
     once = left.join(sized(repeated).alias("k"), keys, "left_semi").withColumn(own, nth).filter(F.col(own) == 1)
-    return left.join(sized(repeated).alias("k"), keys, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    return left.join(sized(repeated).alias("k"), keys, "left_anti").select(*columns).unionByName(once.select(*columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     marked = find_secrets(docs, into=found).withColumn(clean, redacted(F.col("text"), spans))
     length = F.when(F.size(spans) > 0, F.length(clean).cast("long")).otherwise(F.col("n_chars"))
     changed = {"text": F.col(clean), "n_chars": length}
-    return marked.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return marked.select(*[changed.get(c, F.col(quoted(c))).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,28 +74,29 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     written in the order of the mix: every source's stream of permuted blocks is laid evenly over the
     whole, so that sources alternate and the epochs of a document lie apart. Null sources are one
     source of their own; null and empty texts have no tokens and occur once; a very long text is one
-    document; rows that repeat a doc_id are repeated alike, each in the place of the first; rows without
-    doc_id occur once, in places by the hash of their text. Columns of any other name stay as they
+    document; rows of one doc_id and different texts are different documents, rows equal in both are
+    repeated alike, as are rows of equal text without doc_id. Columns of any other name stay as they
     are. An empty table stays empty.
     """
     chosen = mix_sources(docs, max_repeats=2.0, whole=True)
-    chosen = staged(chosen.select(F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), "tokens", "first_token"), "pipeline-mix")
+    own = [F.col(c).alias(f"own_{c}") for c in ("doc_id", "text_md5", "source")]
+    chosen = staged(chosen.select(*own, "tokens", "first_token"), "pipeline-mix")
     ends = chosen.groupBy("own_source").agg(F.max(F.col("first_token") + F.col("tokens")).alias("end"))
     places = staged(
         chosen.join(sized(staged(ends, "pipeline-ends")), "own_source").select(
-            "own_id", (F.col("first_token") / F.greatest("end", F.lit(1))).alias("own_place")
+            "own_doc_id", "own_text_md5", (F.col("first_token") / F.greatest("end", F.lit(1))).alias("own_place")
         ),
         "pipeline-places",
     )
-    place, stretch = private(docs, "place"), private(docs, "stretch")
-    by_hash = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    place, stretch, doc_id, text_md5 = (private(docs, c) for c in ("place", "stretch", "id", "md5"))
     # stretches of about a thousand documents; Spark deals them to tasks, which sort them
     stretches = max(1, places.count() // 1024)
-    mixed = docs.join(sized(places), docs["doc_id"].cast("long") == places["own_id"], "left").select(
-        *[docs[c] for c in docs.columns], F.coalesce(places["own_place"], by_hash).alias(place)
-    )
+    columns = [quoted(c) for c in docs.columns]
+    keyed = docs.withColumns({doc_id: F.col("doc_id").cast("long"), text_md5: text_digest(F.col("text"))})
+    same = (F.col(f"d.{text_md5}") == F.col("p.own_text_md5")) & F.col(f"d.{doc_id}").eqNullSafe(F.col("p.own_doc_id"))
+    mixed = keyed.alias("d").join(sized(places).alias("p"), same).select(*[f"d.{c}" for c in columns], F.col("p.own_place").alias(place))
     mixed = mixed.withColumn(stretch, F.floor(F.col(place) * stretches))
-    return mixed.repartition(stretch).sortWithinPartitions(stretch, place).select(*docs.columns)
+    return mixed.repartition(stretch).sortWithinPartitions(stretch, place).select(*columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
