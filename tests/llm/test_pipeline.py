@@ -48,7 +48,7 @@ def test_a_repeated_id_loses_no_unique_text(spark, small):
 
 CLASHES = (
     "score lang_pred found spans base copies copy place own_place own_id own_hash own_source stretch k node kept chosen text_hash hash id own epoch"
-    " first_token start length ids cost sequence_id"
+    " first_token start length ids cost sequence_id own_text_md5 md5 a.b text.x x`y"
 ).split()
 
 
