@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators.aggregates import exact_avg, exact_sum, two_stage
+from marlstone.operators.quantiles import exact_quantiles
 from marlstone.plans.registry import query
 from marlstone.sources.tables import load, register
 
@@ -106,11 +107,23 @@ SELECT c_mktsegment, quantile_cont(c_acctbal, 0.5) AS median, quantile_disc(c_ac
 FROM customer GROUP BY c_mktsegment
 """)
 def aggregate_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir, "customer")
-    return spark.sql(
-        "SELECT c_mktsegment, percentile(c_acctbal, 0.5) AS median,"
-        " percentile_disc(0.25) WITHIN GROUP (ORDER BY c_acctbal) AS quarter FROM customer GROUP BY c_mktsegment"
+    """By a running sum over distinct values, as Spark's own exact percentile gathers a group's values in one task."""
+    customers = load(spark, sf_dir, "customer").select("c_mktsegment", "c_acctbal")
+    return exact_quantiles(customers, ["c_mktsegment"], "c_acctbal", {"median": (0.5, True), "quarter": (0.25, False)})
+
+
+@query("""
+SELECT l_returnflag, l_linestatus, quantile_cont(l_extendedprice, 0.99) AS most, quantile_disc(l_quantity * 100 + l_linenumber, 0.5) AS middle
+FROM lineitem GROUP BY l_returnflag, l_linestatus
+""")
+def aggregate_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of few groups, each with a large share of the rows."""
+    lines = load(spark, sf_dir, "lineitem").select(
+        "l_returnflag", "l_linestatus", "l_extendedprice", (F.col("l_quantity") * 100 + F.col("l_linenumber")).alias("mixed")
     )
+    keys = ["l_returnflag", "l_linestatus"]
+    most = exact_quantiles(lines, keys, "l_extendedprice", {"most": (0.99, True)})
+    return most.join(exact_quantiles(lines, keys, "mixed", {"middle": (0.5, False)}), keys)
 
 
 _STATS = """

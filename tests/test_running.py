@@ -137,3 +137,22 @@ def test_stream_queries_over_folders(spark, small, tmp_path, name):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     assert plain_rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == plain_rows(QUERIES[name](spark, small).toPandas())
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_quantiles_equal_sorting(spark):
+    import numpy as np
+
+    from marlstone.operators.quantiles import exact_quantiles
+
+    rng = random.Random(9)
+    rows = [("hot", float(rng.choice([rng.randint(0, 20), rng.random() * 20]))) for _ in range(900)]
+    rows += [(None, float(i * i)) for i in range(40)] + [("one", 5.0), ("none", None), ("some", None), ("some", -1.0), ("some", 2.0)]
+    wanted = {f"q{int(s * 100)}{'c' if b else 'd'}": (s, b) for s in (0.0, 0.1, 0.5, 0.99, 1.0) for b in (True, False)}
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", wanted, pieces=6, hot_rows=100).collect()}
+    assert set(got) == {"hot", None, "one", "none", "some"}
+    for g, r in got.items():
+        own = [v for k, v in rows if k == g and v is not None]
+        for name, (share, between) in wanted.items():
+            want = np.quantile(own, share, method="linear" if between else "inverted_cdf") if own else None
+            assert r[name] == (pytest.approx(want) if own else None), (g, name)
