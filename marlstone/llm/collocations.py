@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bounded_batches, sized, staged, table
+from marlstone.llm.common import bounded_batches, quoted, sized, staged, table
 from marlstone.llm.tokens import text_slices
 
 #: A-Z as a-z, a tab as a blank, and everything that ends a piece as a full stop, which no word holds.
@@ -233,12 +233,16 @@ def _count(batches: Iterator[pa.RecordBatch], wanted: Wanted | Broadcast) -> Ite
         yield from counter.sent()
 
 
+def _summed(rows: DataFrame) -> DataFrame:
+    """Counts of tasks added up. They are distinct there already, so they are shuffled first: adding up before would find nothing."""
+    return rows.repartition("lang", "phrase").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+
+
 def _counted(texts: DataFrame, wanted: Wanted, least: int, name: str) -> DataFrame:
     """Exact counts of what is ``wanted``, of ``least`` at least, words of any; counted in tasks first."""
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
-    rows = texts.mapInArrow(partial(_count, wanted=shared), _COUNTS)
-    found = rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter(f"n >= {least} OR words = 1 AND {wanted.all_words}")
-    return staged(found, name)
+    rows = _summed(texts.mapInArrow(partial(_count, wanted=shared), _COUNTS))
+    return staged(rows.filter(f"n >= {least} OR words = 1 AND {wanted.all_words}"), name)
 
 
 def _missed(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -263,8 +267,8 @@ def mine(texts: DataFrame, least: int = 10, share: float = 0.25, lowered: float
     whatever the sample was. Sets of phrases reach the tasks as filters of bounded size.
     """
     at_least = max(1, int(least * share * lowered))
-    sample = staged(texts.filter(F.col("point") < share).mapInArrow(partial(_count, wanted=Wanted(True, every_pair=True)), _COUNTS)
-                    .groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter(f"n >= {at_least}"), "phrases-sample")
+    drawn = texts.filter(F.col("point") < share).mapInArrow(partial(_count, wanted=Wanted(True, every_pair=True)), _COUNTS)
+    sample = staged(_summed(drawn).filter(f"n >= {at_least}"), "phrases-sample")
     of = lambda rows, words: rows.filter(F.col("words") == words)
     proposed_words, proposed_pairs = filter_of(of(sample, 1)), filter_of(of(sample, 2))
     passes = [_counted(texts, Wanted(True, words=proposed_words, pairs=proposed_pairs), least, "phrases")]
@@ -300,8 +304,7 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", least:
     is `und`; texts of any length are counted whole, in stretches; repeated rows count as often as
     they occur. An empty table has no phrases; columns of other names play no part.
     """
-    name = "`" + lang.replace("`", "``") + "`"
-    body = F.col("`" + text.replace("`", "``") + "`")
+    name, body = quoted(lang), F.col(quoted(text))
     rows = docs.select(F.coalesce(F.col(name).cast("string"), F.lit("und")).alias("lang"), body.cast("binary").alias("text"), _point(docs, body).alias("point"))
     counts = mine(bounded_batches(rows.filter("text IS NOT NULL")), least)
     counts = staged(counts, "phrases-counts")
