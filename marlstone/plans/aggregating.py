@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.operators.aggregates import exact_avg, exact_sum, two_stage
 from marlstone.operators.quantiles import exact_quantiles
 from marlstone.plans.registry import query
-from marlstone.sources.tables import load, register
+from marlstone.sources.tables import load, over_tables
 
 _DEC = "CAST(sum(CAST({} AS DECIMAL(20, {}))) AS DOUBLE)"
 
@@ -137,8 +137,7 @@ FROM lineitem GROUP BY l_returnflag
 
 @query(_STATS)
 def aggregate_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir, "lineitem")
-    return spark.sql(_STATS)
+    return over_tables(spark, sf_dir, _STATS, "lineitem")
 
 
 @query("""

@@ -11,8 +11,8 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from marlstone.plans.registry import query
 from marlstone.sources.ledger import Ledger
-from marlstone.sources.shared import new_path, staged
-from marlstone.sources.tables import load
+from marlstone.sources.shared import new_path, setting, staged
+from marlstone.sources.tables import load, views
 from marlstone.sources.upserts import upsert
 from marlstone.streaming.runs import drained, rocksdb_state, stream_of
 from marlstone.streaming.timers import closed_sessions
@@ -98,10 +98,9 @@ def table_function_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps of a funnel of each user by a table function over partitions, in order of time."""
     spark.udtf.register("funnel_steps", F.udtf(Funnel))
     events = load(spark, sf_dir, "events").select("user_id", "ts", "event_type")
-    call = "SELECT * FROM funnel_steps(TABLE({events}) PARTITION BY user_id ORDER BY (ts), 'user_id', 'ts', 'event_type', 'view,click,purchase')"
-    name = new_path(spark, "events").rsplit("-", 1)[1]
-    events.createOrReplaceTempView(f"funnel_events_{name}")
-    return spark.sql(call.format(events=f"funnel_events_{name}"))
+    call = "SELECT * FROM funnel_steps(TABLE(events) PARTITION BY user_id ORDER BY (ts), 'user_id', 'ts', 'event_type', 'view,click,purchase')"
+    with views(spark, events=events):
+        return spark.sql(call)
 
 
 @query("SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' AND user_id < 100")
@@ -115,11 +114,6 @@ def stream_custom_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.format("ledger").schema(events.schema).load(first)
     run = stream.writeStream.format("ledger").option("checkpointLocation", state).option("path", second).trigger(availableNow=True).start()
     run.awaitTermination()
-    key = "spark.sql.python.filterPushdown.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
+    with setting(spark, "spark.sql.python.filterPushdown.enabled", "true"):
         read = spark.read.format("ledger").option("pushdown", "true").schema(events.schema).load(second)
         return staged(read.filter("event_type = 'purchase' AND user_id < 100").select("event_id", "user_id", "value"), "ledger-read")
-    finally:
-        spark.conf.set(key, before)

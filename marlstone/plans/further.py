@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.plans.registry import query
 from marlstone.sources.slices import TableSlices
-from marlstone.sources.tables import load, register
+from marlstone.sources.tables import load, over_tables
 from marlstone.streaming.runs import collected_in_memory, distinct_values, drained, reordered, rocksdb_state, stream_of
 
 
@@ -164,8 +164,8 @@ def aggregate_grouping_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS item, count(*) AS n FROM events GROUP BY event_type")
 def aggregate_top_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent types by an approximate sketch, exact while it holds all of them."""
-    register(spark, sf_dir, "events")
-    return spark.sql("SELECT item.item, item.count AS n FROM (SELECT explode(approx_top_k(event_type, 20, 1000)) AS item FROM events)")
+    text = "SELECT item.item, item.count AS n FROM (SELECT explode(approx_top_k(event_type, 20, 1000)) AS item FROM events)"
+    return over_tables(spark, sf_dir, text, "events")
 
 
 @query("SELECT p_partkey, lower(p_brand) || '-' || p_size AS label, p_size * 2 AS twice FROM part")

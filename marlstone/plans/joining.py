@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators.joins import asof_join, not_in, overlap_join, range_join, skew_join, top_per_group
 from marlstone.plans.registry import query
-from marlstone.sources.tables import load, register
+from marlstone.sources.tables import load, over_tables
 
 
 @query("SELECT o.o_orderkey, c.c_name, c.c_mktsegment FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_acctbal > 5000")
@@ -164,14 +164,14 @@ SELECT p_partkey, p_retailprice FROM part p
 WHERE p_retailprice > (SELECT avg(p_size) * 38 FROM part q WHERE q.p_brand = p.p_brand)
 """)
 def join_correlated_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir, "part")
-    return spark.sql(
+    text = (
         "SELECT p_partkey, p_retailprice FROM part p"
         " WHERE p_retailprice > (SELECT avg(p_size) * 38 FROM part q WHERE q.p_brand = p.p_brand)"
     )
+    return over_tables(spark, sf_dir, text, "part")
 
 
-@query("SELECT l.l_orderkey, l.l_linenumber, o.o_orderpriority FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey ")
+@query("SELECT l.l_orderkey, l.l_linenumber, o.o_orderpriority FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey")
 def join_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber")
     orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), "o_orderpriority")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from marlstone.operators.joins import top_per_group
 from marlstone.operators.running import Running, running
 from marlstone.plans.registry import query
-from marlstone.sources.shared import staged
-from marlstone.sources.tables import load, register
+from marlstone.sources.shared import setting, staged
+from marlstone.sources.tables import load, over_tables
 
 _BY_PRICE = "OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)"
 
@@ -57,11 +57,11 @@ SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN
 FROM events
 """)
 def window_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir, "events")
-    return spark.sql("""
+    text = """
         SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS near_most,
                count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW) AS in_hour
-        FROM events""")
+        FROM events"""
+    return over_tables(spark, sf_dir, text, "events")
 
 
 @query("""
@@ -193,7 +193,6 @@ WITH RECURSIVE steps(c_custkey, depth) AS (
 @query(_STEPS.format("// 2"))
 def recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Halve all keys until they are odd or 0; every step is a row."""
-    register(spark, sf_dir, "customer")
-    # Spark ends recursions of more than a million rows unless told otherwise
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(_STEPS.format("DIV 2"))
+    # Spark ends recursions of more than a million rows unless told otherwise when they run
+    with setting(spark, "spark.sql.cteRecursionRowLimit", "-1"):
+        return staged(over_tables(spark, sf_dir, _STEPS.format("DIV 2"), "customer"), "recursion")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.plans.registry import query
 from marlstone.sources.shared import new_path
-from marlstone.sources.tables import load
+from marlstone.sources.tables import load, views
 from marlstone.streaming.runs import drained, stream_of
 
 _PAIRS = """
@@ -65,10 +65,9 @@ def crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_nationkey, string_agg(c_mktsegment, ';' ORDER BY c_mktsegment) AS segments FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer) GROUP BY c_nationkey")
 def aggregate_listagg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    load(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct().createOrReplaceTempView("segments")
-    return spark.sql(
-        "SELECT c_nationkey, listagg(c_mktsegment, ';') WITHIN GROUP (ORDER BY c_mktsegment) AS segments FROM segments GROUP BY c_nationkey"
-    )
+    text = "SELECT c_nationkey, listagg(c_mktsegment, ';') WITHIN GROUP (ORDER BY c_mktsegment) AS segments FROM segments GROUP BY c_nationkey"
+    with views(spark, segments=load(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct()):
+        return spark.sql(text)
 
 
 @query("SELECT c_custkey, max(c_acctbal) OVER (PARTITION BY c_nationkey) - c_acctbal AS below FROM customer")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.columns import day_of_week, half_up, ratio, truncated
 from marlstone.plans.registry import query
-from marlstone.sources.tables import load
+from marlstone.sources.tables import load, over_tables
 
 
 @query("""
@@ -162,8 +162,7 @@ def udf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield (word,)
 
     spark.udtf.register("split_words", Words)
-    load(spark, sf_dir, "nation").createOrReplaceTempView("nation")
-    return spark.sql("SELECT n_nationkey, w.word FROM nation, LATERAL split_words(n_name) w")
+    return over_tables(spark, sf_dir, "SELECT n_nationkey, w.word FROM nation, LATERAL split_words(n_name) w", "nation")
 
 
 @query("""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.columns import json_int
 from marlstone.plans.registry import query
-from marlstone.sources.tables import as_lines, binary_files, load, register, written
+from marlstone.sources.tables import as_lines, binary_files, load, over_tables, written
 
 _SHIPPED = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
 
@@ -119,5 +119,5 @@ def filter_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, upper(c_mktsegment) AS segment FROM customer WHERE c_acctbal > 0")
 def sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL text over a temporary view, with a named parameter."""
-    register(spark, sf_dir, "customer")
-    return spark.sql("SELECT c_custkey, upper(c_mktsegment) AS segment FROM customer WHERE c_acctbal > :least", args={"least": 0})
+    text = "SELECT c_custkey, upper(c_mktsegment) AS segment FROM customer WHERE c_acctbal > :least"
+    return over_tables(spark, sf_dir, text, "customer", args={"least": 0})

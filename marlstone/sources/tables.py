@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.sources.shared import new_path
@@ -26,10 +29,29 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    """Temporary views of tables, for SQL text."""
-    for name in names:
-        load(spark, sf_dir, name).createOrReplaceTempView(name)
+@contextmanager
+def views(spark: SparkSession, **frames: DataFrame) -> Iterator[None]:
+    """Temporary views for the SQL text that is read herein; the user's own of these names are there again after.
+
+    Spark resolves names when a text is read, so its result doesn't need them any longer.
+    """
+    held = {t.name: spark.table(t.name) for t in spark.catalog.listTables() if t.isTemporary and t.name in frames}
+    for name, frame in frames.items():
+        frame.createOrReplaceTempView(name)
+    try:
+        yield
+    finally:
+        for name in frames:
+            if name in held:
+                held[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
+
+
+def over_tables(spark: SparkSession, sf_dir: str, text: str, *names: str, **options) -> DataFrame:
+    """The result of SQL text over tables of the data set, by their names."""
+    with views(spark, **{name: load(spark, sf_dir, name) for name in names}):
+        return spark.sql(text, **options)
 
 
 def written(df: DataFrame, form: str, *partition_by: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from marlstone.sources.shared import new_path
+from marlstone.sources.shared import new_path, setting
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str, event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
@@ -75,16 +75,10 @@ def running_totals(stream: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
-@contextmanager
-def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+def rocksdb_state(spark: SparkSession) -> AbstractContextManager[None]:
     """Streams started herein keep their state in RocksDB, as stateful processors ask for; the session's setting comes back after."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    return setting(spark, "spark.sql.streaming.stateStore.providerClass", provider)
 
 
 class _Kinds(StatefulProcessor):

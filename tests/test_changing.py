@@ -104,3 +104,19 @@ def test_odd_keys(spark, keys):
     url = f"jdbc:derby:memory:odd{len(keys)};create=true"
     into_database(spark.createDataFrame([(k,) for k in keys], "k long").coalesce(1), url, "ODD")
     assert sorted(r.k for r in from_database(spark, url, "ODD", '"k"', 3).collect()) == sorted(keys)
+
+
+def test_sessions_stay_as_they_are(spark, small):
+    """Views and settings of the user's are there again after queries that use such names."""
+    from marlstone.plans.all import QUERIES
+
+    key = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(key)
+    spark.range(3).createOrReplaceTempView("customer")
+    try:
+        assert QUERIES["sql_text"](spark, small).count() > 0 and QUERIES["recursion"](spark, small).count() > 0
+        assert spark.table("customer").columns == ["id"] and spark.conf.get(key) == before
+    finally:
+        spark.catalog.dropTempView("customer")
+    assert QUERIES["udf_table"](spark, small).count() > 0
+    assert "nation" not in {t.name for t in spark.catalog.listTables() if t.isTemporary}
