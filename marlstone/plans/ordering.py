@@ -78,13 +78,14 @@ def window_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT l_orderkey, l_linenumber, l_returnflag,
-       sum(l_quantity) OVER w AS so_far, coalesce(max(l_extendedprice) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS most_before
-FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber)
+       sum(l_quantity) OVER (w ROWS UNBOUNDED PRECEDING) AS so_far,
+       coalesce(max(l_extendedprice) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS most_before
+FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity, l_extendedprice)
 """)
 def window_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running sum and maximum over three keys, each with a third of all rows, which are cut into pieces of time."""
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_shipdate", "l_quantity", "l_extendedprice")
-    order = [("l_shipdate", True), ("l_orderkey", True), ("l_linenumber", True)]
+    order = [(c, True) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")]
     values = {"so_far": Running("sum", "l_quantity"), "most": Running("max", "l_extendedprice", strict=True)}
     done = running(lines, ["l_returnflag"], order, values)
     return done.select("l_orderkey", "l_linenumber", "l_returnflag", "so_far", F.coalesce("most", F.lit(-1.0)).alias("most_before"))
