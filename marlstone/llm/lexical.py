@@ -290,9 +290,15 @@ def _scores(batches: Iterator[pa.RecordBatch], shared: Broadcast, bars: np.ndarr
 
 
 def _rescored(found: LexicalIndex, wanted: DataFrame, shared: Broadcast, bars: np.ndarray) -> DataFrame:
-    """(item, text_id, score) for pairs of query and text, by one scan of the texts."""
+    """(item, text_id, score) for pairs of query and text, by one scan of the texts.
+
+    The list of texts travels to all tasks up to 200,000 texts and 2,000,000 pairs; a longer one is
+    joined by a shuffle, from which Spark's runtime filter keeps most other texts.
+    """
     lists = staged(wanted.groupBy("text_id").agg(F.collect_set("item").alias("items")), "lexical-wanted")
-    texts = found.docs.join(sized(lists, most_rows=200_000), "text_id").select("text_id", "text", "items")
+    rows, pairs = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("items")), F.lit(0))).first()
+    lists = F.broadcast(lists) if rows <= 200_000 and pairs <= 2_000_000 else lists
+    texts = found.docs.join(lists, "text_id").select("text_id", "text", "items")
     scored = texts.mapInArrow(partial(_scores, shared=shared, bars=bars), "item int, text_id binary, score long")
     return staged(scored.distinct(), "lexical-scores")
 

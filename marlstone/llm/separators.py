@@ -226,7 +226,8 @@ def scan(blocks: DataFrame, end_id: int = END_ID, token_bytes: int = 2) -> DataF
 
     Returns one row per document: stream, ordinal, start (place in the stream), n_tokens (with the
     end id), closed. Tokens after the last end id form a last document that is not closed. Null
-    payloads count as empty; empty streams have no documents; columns of other names play no part.
+    payloads count as empty; empty streams and an empty table have no documents; documents may be of any
+    length, and blocks of any that a task can hold; columns of other names play no part.
     """
     search = partial(_scan, end_id=end_id, token_bytes=token_bytes)
     found = staged(blocks.select("stream", "block", "payload").mapInArrow(search, SCANNED), "separators")

@@ -259,7 +259,7 @@ def top_k(
     """For each query the ``k`` vectors of highest inner product, exactly.
 
     Components x become floor(``scale`` * x), and scores are whole numbers, exact at any size; a score
-    beyond a long is an error. Inner product search becomes search by distance with one more
+    or component beyond a long is an error; vectors may have any number of components. Inner product search becomes search by distance with one more
     component per vector. Vectors are dealt to their nearest pivots, of which there are as many as
     trees of ``tree_rows``, at most ``most_pivots`` or 64 MB, chosen by hash; a pivot's cell of more rows
     has several trees. Trees are built once and written as pages.

@@ -48,7 +48,8 @@ def judge_urls(
     the shapes (number of labels, path length) that the rules have, so that no other expression
     could fit any rule. Expressions meet rules in an equi-join on the first ``prefix_hex`` hex
     digits of their SHA-256 digests; the full digest then confirms, and the longest rule wins
-    (then the longer host, then ``block``).
+    (then the longer host, then ``block``). URLs of any length are read whole, but expanded only in the
+    shapes of the rules.
 
     Spark picks the join by the size of the rule table: lists under its broadcast threshold travel
     to the pages, longer ones are shuffled by hash prefix.
