@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -13,6 +14,8 @@ from marlstone.sources.shared import staged
 
 #: Keys of fewer rows stay whole, whatever their share.
 HOT_ROWS = 10_000
+#: Cuts that one expression compares with; a tree of more would outgrow generated code.
+MOST_COMPARED = 256
 
 
 @dataclass(frozen=True)
@@ -51,13 +54,24 @@ def _ordered(order: Sequence[tuple[str, bool]], backwards: bool = False) -> list
     return [F.asc_nulls_first(c) if up else F.desc_nulls_first(c) for c, up in order]
 
 
-def _piece(value: Column, cuts: list, first: int = 0) -> Column:
-    """How many of the ascending ``cuts`` are below ``value``, by a decision tree of comparisons; 0 for null."""
+def _tree(value: Column, cuts: list, first: int = 0) -> Column:
+    """How many of the ascending ``cuts`` are below ``value``, by a decision tree of comparisons; none for null."""
     if not cuts:
         return F.lit(first)
     middle = len(cuts) // 2
-    above = _piece(value, cuts[middle + 1 :], first + middle + 1)
-    return F.when(value > F.lit(cuts[middle]), above).otherwise(_piece(value, cuts[:middle], first))
+    above = _tree(value, cuts[middle + 1 :], first + middle + 1)
+    return F.when(value > F.lit(cuts[middle]), above).otherwise(_tree(value, cuts[:middle], first))
+
+
+def _piece(value: Column, cuts: list) -> Column:
+    """As :func:`_tree`, for any number of ``cuts``: beyond ``MOST_COMPARED`` a tree of every n-th, then those in between."""
+    if len(cuts) <= MOST_COMPARED:
+        return _tree(value, cuts)
+    step = math.isqrt(len(cuts)) + 1
+    stretches = F.array(*[F.array(*[F.lit(c) for c in cuts[at : at + step - 1]]) for at in range(0, len(cuts) + 1, step) if cuts[at : at + step - 1]])
+    coarse = _tree(value, cuts[step - 1 :: step])
+    between = F.coalesce(F.size(F.filter(F.get(stretches, coarse), lambda cut: cut < value)), F.lit(0))
+    return coarse * step + F.when(value.isNotNull(), F.greatest(between, F.lit(0))).otherwise(0)
 
 
 def running(
@@ -87,11 +101,11 @@ def running(
         raise ValueError("give at least one key")
     names = [f"_key{i}" for i in range(len(by))]
     counts = df.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)]).agg(F.count(F.lit(1)).alias("_rows"))
-    counts = staged(counts, "running-keys")
-    total = counts.agg(F.sum("_rows")).first()[0] or 0
-    hot = counts.filter(F.col("_rows") > max(hot_rows, total // (2 * pieces))).drop("_rows")
-    if hot.isEmpty():
+    total, largest = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.coalesce(F.max("_rows"), F.lit(0))).first()
+    fair = max(hot_rows, total // (2 * pieces))
+    if largest <= fair:
         return plain(df)
+    hot = staged(counts.filter(F.col("_rows") > fair).drop("_rows"), "running-hot")
     same = F.lit(True)
     for c, n in zip(by, names, strict=True):
         same = same & df[c].eqNullSafe(hot[n])

@@ -53,6 +53,17 @@ def test_running_equals_a_loop(spark, up):
                 assert got[i][f"{kind}_{strict}"] == want, (kind, strict, i)
 
 
+@pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 9, 16, 17, 40])
+def test_pieces_by_any_number_of_cuts(spark, monkeypatch, n):
+    import marlstone.operators.running as module
+
+    monkeypatch.setattr(module, "MOST_COMPARED", 3)
+    cuts = [3 * i for i in range(n)]
+    df = spark.createDataFrame([(i,) for i in range(-2, 3 * n + 3)] + [(None,)], "t int")
+    for r in df.select("t", module._piece(F.col("t"), cuts).alias("p")).collect():
+        assert r.p == (0 if r.t is None else sum(c < r.t for c in cuts))
+
+
 def test_hot_key_is_spread(spark):
     """A key with nearly all rows goes to many partitions, each with a fair share."""
     df = spark.range(20_000).select(F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(-1).alias("k"), F.col("id").alias("t"), F.col("id").alias("v"))
