@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.operators.running import Running, running
+from marlstone.operators.running import HOT_ROWS, Running, running
+from marlstone.sources.shared import staged
+
+
+def _row_hash(df: DataFrame) -> Column:
+    """A number to deal rows by: the same if a task runs again, and not the same for all copies of a row."""
+    return F.xxhash64(*df.columns, F.spark_partition_id())
 
 
 def asof_join(
@@ -110,12 +116,31 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
     return found
 
 
-def skew_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
-    """Join in which a hot key of ``large`` is dealt to ``salts`` tasks and ``small`` is repeated for each."""
+def skew_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 16, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join in which a hot key of ``large`` is dealt to up to ``salts`` tasks, and rows of ``small`` of that key are repeated for each.
+
+    Hot are keys of more rows than ``hot_rows`` and than 1 in 2 * the shuffle's partitions, so they
+    are few; an aggregate by key goes first, to find them. All other rows of ``small`` stay single, so
+    that it is as large as Spark takes it to be when it chooses a join. Rows of ``large`` with a null
+    key match nothing and are dealt, too.
+    """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("only joins that keep rows of the large side can be salted")
-    salted = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    counts = large.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    total, largest = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.coalesce(F.max("_rows"), F.lit(0))).first()
+    fair = max(hot_rows, total // (2 * int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    if largest <= fair:
+        return large.join(small, on, how)
+    pieces = F.least(F.ceil(F.col("_rows") / fair), F.lit(salts)).cast("int").alias("_salts")
+    # fewer than 2 * partitions keys; null ones go without
+    hot = F.broadcast(staged(counts.filter(F.col("_rows") > fair).dropna(subset=on).select(*on, pieces), "skewed-keys"))
+    null_key = F.lit(False)
+    for c in on:
+        null_key = null_key | F.col(c).isNull()
+    dealt = F.pmod(_row_hash(large), F.coalesce("_salts", F.when(null_key, salts), F.lit(1))).cast("int")
+    salted = large.join(hot, on, "left").withColumn("_salt", dealt).select(*large.columns, "_salt")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    repeated = small.join(hot, on, "left").withColumn("_salt", every).select(*small.columns, "_salt")
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 

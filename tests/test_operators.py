@@ -50,6 +50,18 @@ def test_salted_join_equals_plain(spark):
         skew_join(large, small, ["k"], "full")
 
 
+def test_salted_join_repeats_rows_of_hot_keys_only(spark):
+    large = spark.createDataFrame([(1, 7)] * 40 + [(1, i) for i in range(20)] + [(2, 0), (3, 0)] + [(None, i) for i in range(30)], "k int, v int")
+    small = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "n")], "k int, w string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        hot = skew_join(large, small, ["k"], how, 4, hot_rows=10)
+        assert hot.columns == large.join(small, "k", how).columns
+        assert found(hot) == found(large.join(small, "k", how))
+        assert "Generate" in hot._jdf.queryExecution().toString()
+    # without a hot key nothing is repeated: Spark's estimate of the small side, by which it broadcasts, holds
+    assert "Generate" not in skew_join(large, small, ["k"], "inner", 4)._jdf.queryExecution().toString()
+
+
 def test_not_in_follows_nulls(spark):
     rows = spark.createDataFrame([(1,), (2,), (None,)], "a int")
     assert found(not_in(rows, "a", spark.createDataFrame([(1,)], "b int"), "b")) == [(2,)]
