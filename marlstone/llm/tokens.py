@@ -31,7 +31,7 @@ class WordEncoder:
     their own ids, as by the library's default.
     """
 
-    #: Words kept; beyond that the cache starts anew.
+    #: Words in a generation of the cache; beyond that a new one begins. Words met again come over from the one before, which then goes.
     MAX_WORDS = 350_000
     #: Longer words are rare, so keeping them would not pay.
     MAX_CHARS = 64
@@ -60,7 +60,7 @@ class WordEncoder:
         self._added_in = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         mark = self._tokenizer.encode(self.MARK, add_special_tokens=False).ids
         self._mark = mark[0] if len(mark) == 1 else None
-        self._ids: dict[str, bytes] = {"": b"", **self._added}
+        self.forget()
         # words of lower-case letters need no normalizing and are one pre-token each, whose last id is known as such
         self._letters, self._last = Tokenizer.from_file(path), None
         if suffix := getattr(self._letters.model, "end_of_word_suffix", None):
@@ -77,9 +77,15 @@ class WordEncoder:
         """The ids of each text as bytes; nothing for null and for texts without tokens."""
         split = [self._split(t) if t else [] for t in texts]
         if len(self._ids) > self.MAX_WORDS:
+            before = self._ids
             self.forget()
-        ids = self._ids
+            self._before = before
+        ids, before = self._ids, self._before
         seen = {w for words in split for w in words if w not in ids}
+        if before:
+            known = seen.intersection(before)
+            ids.update((w, before[w]) for w in known)
+            seen.difference_update(known)
         ended = {w for w in seen if w[-1] in self.ENDS and self._ends_alone(w)}
         new = {w[:-1] if w in ended else w for w in seen}.union(self.ENDS).difference(ids)
         alone = [w for w in new if len(w) > self.MAX_CHARS or self.MARK in w or self._mark is None]
@@ -108,7 +114,8 @@ class WordEncoder:
 
     def forget(self) -> None:
         """Free the cache, so that idle workers hold no memory."""
-        self._ids = {"": b"", **self._added}
+        self._ids: dict[str, bytes] = {"": b"", **self._added}
+        self._before: dict[str, bytes] = {}
 
     def _encode_texts(self, texts: list[str]) -> list:
         return self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from marlstone.llm.packing import balance, op7_packing, pack_documents
-from marlstone.llm.tokens import default_vocabulary, encoder
+from marlstone.llm.tokens import WordEncoder, default_vocabulary, encoder
 
 
 def plain_ids(texts):
@@ -107,3 +107,18 @@ def test_random_odd_strings_get_the_ids_of_the_plain_call():
     words = encoder(default_vocabulary(), False)
     got = [x + b"\x01\0\0\0" for at in range(0, len(texts), 500) for x in words.encode(texts[at : at + 500])]
     assert got == [x.tobytes() for x in plain_ids(texts)]
+
+
+def test_words_met_again_are_encoded_once(monkeypatch):
+    """A full cache keeps the words of its last generation that are met again, and stays bounded."""
+    words, done = WordEncoder(default_vocabulary(), False), []
+    monkeypatch.setattr(words, "MAX_WORDS", 40)
+    monkeypatch.setattr(words, "_encode_words", lambda new: done.extend(new) or WordEncoder._encode_words(words, new))
+    texts = [f"the same words, again! {' '.join(chr(97 + n) * k for k in range(2, 14))}" for n in range(26)]
+    plain = [WordEncoder(default_vocabulary(), False).encode([t])[0] for t in texts[:3]]
+    got = [words.encode([t])[0] for t in texts]
+    assert got[:3] == plain and words.encode(texts)[:3] == plain
+    got = done[: done.index("zz")]
+    assert got.count("same") == got.count("again") == got.count("the") == 1
+    words.encode(texts[:1])
+    assert len(words._ids) + len(words._before) < 1000 and words.forget() is None and not words._before
