@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,10 @@ from pyspark.sql import functions as F
 from marlstone.operators.running import HOT_ROWS, Running, running
 from marlstone.sources.shared import staged
 
+#: Pairs of rows that one tile of a dealt join compares at most, and tiles' worth of pairs in a task.
+TILE_PAIRS = 1 << 22
+TASK_TILES = 8
+
 
 def _row_hash(df: DataFrame) -> Column:
     """A number to deal rows by: the same if a task runs again, and not the same for all copies of a row."""
@@ -62,14 +68,14 @@ def range_join(
     """Pairs of a point and a range that holds it: low <= point < high.
 
     Ranges are repeated for each bucket of ``width`` that they touch, so that an equi-join on the
-    bucket (and ``by``) finds the pairs; no nested loop. Choose ``width`` near the usual length of a
-    range. Columns of the two sides must differ, but for ``by``.
+    bucket (and ``by``) finds the pairs; no nested loop, and buckets of many pairs are dealt to many tasks
+    (:func:`dealt_join`). Choose ``width`` near the usual length of a range. Columns of the two sides must differ, but for ``by``.
     """
     by = by or []
     bucket = lambda c: F.floor(F.col(c).cast("double") / F.lit(float(width)))
     touched = ranges.filter(F.col(low) < F.col(high)).withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
     placed = points.withColumn("_bucket", bucket(point))
-    pairs = placed.join(touched, [*by, "_bucket"])
+    pairs = dealt_join(placed, touched, [*by, "_bucket"])
     return pairs.filter((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bucket")
 
 
@@ -80,7 +86,8 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
     shorter than itself, so it touches at most two of them, and of those of any level above. Rows
     meet by an equi-join on level and cell at the higher of their two levels: the row of the lower
     one is repeated for each level above that the other side has in use, so copies grow with the
-    logarithm of the longest span, not with its length. Of two cells that a pair shares the first
+    logarithm of the longest span, not with its length. Cells of many pairs are dealt to many tasks
+    (:func:`dealt_join`). Of two cells that a pair shares the first
     reports it. Empty spans and those with a null end overlap nothing; a span must be shorter than
     2 ** 62. Columns of the two sides must differ.
     """
@@ -108,7 +115,7 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
         above = F.expr(f"filter(array({', '.join(map(str, levels(sides[home], home)))}), n -> n >= {least})").cast("array<int>")
         guests = celled(sides[guest].withColumn("_level", F.explode(above)), guest)
         hosts = celled(sides[home].withColumn("_level", F.col(f"_{home}_level")), home)
-        met = guests.join(hosts, ["_level", "_cell"]).filter(
+        met = dealt_join(guests, hosts, ["_level", "_cell"]).filter(
             "_l_low <= _r_last AND _r_low <= _l_last AND _cell = greatest(_l_first, _r_first)"
         )
         met = met.select(*left.columns, *right.columns)
@@ -116,6 +123,38 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
     return found
 
 
+def dealt_join(left: DataFrame, right: DataFrame, on: list[str], tile_pairs: int = TILE_PAIRS) -> DataFrame:
+    """Inner join in which tasks are dealt pairs, not rows: for keys that few rows share on either side, but whose pairs are many.
+
+    Both sides are counted by key first. A key of more than ``tile_pairs`` pairs is cut into tiles, a
+    part of the one side by a part of the other, near square, so that a row is repeated for pairs /
+    sqrt(``tile_pairs``) at most. Tiles go to as many tasks as their pairs ask for, some
+    ``TASK_TILES`` each, where Spark would settle the number by bytes. Rows whose key the other side
+    lacks are dropped before. Columns of the two sides must differ, but for ``on``.
+    """
+    number = lambda df, into: df.groupBy(*on).agg(F.count(F.lit(1)).cast("double").alias(into))
+    side, most = F.lit(float(math.isqrt(tile_pairs))), F.lit(float(tile_pairs))
+    parts = lambda own, other: F.ceil(F.col(own) / F.greatest(side, most / F.col(other)))
+    both = number(left, "_n_left").join(number(right, "_n_right"), on)
+    sizes = staged(both.withColumns({"_of_left": parts("_n_left", "_n_right"), "_of_right": parts("_n_right", "_n_left")}), "pairs-by-key")
+    pairs = sizes.agg(F.coalesce(F.sum(F.col("_n_left") * F.col("_n_right")), F.lit(0.0))).first()[0]
+    if pairs <= TASK_TILES * tile_pairs:
+        return left.join(right, on)
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(partitions, math.ceil(pairs / (TASK_TILES * tile_pairs)))
+
+    def dealt(df: DataFrame, own: str, tiles: str) -> DataFrame:
+        # small files are few tasks, too few for all that is repeated
+        rows = df.withColumn("_row", _row_hash(df)).repartition(partitions, "_row")
+        met = rows.join(sizes, on).withColumn("_own", F.expr(f"pmod(_row, {own})"))
+        return met.withColumn("_tile", F.explode(F.expr(tiles))).select(*df.columns, "_tile").repartition(tasks, *on, "_tile")
+
+    lefts = dealt(left, "_of_left", "transform(sequence(0L, _of_right - 1), n -> _own * _of_right + n)")
+    rights = dealt(right, "_of_right", "transform(sequence(0L, _of_left - 1), n -> n * _of_right + _own)")
+    # merged, since what is repeated may be far more than Spark takes it to be
+    return lefts.hint("merge").join(rights, [*on, "_tile"]).drop("_tile")
+
+
 def skew_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 16, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join in which a hot key of ``large`` is dealt to up to ``salts`` tasks, and rows of ``small`` of that key are repeated for each.
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions.columns import half_up, ratio
-from marlstone.operators.joins import asof_join, not_in, range_join, skew_join, top_per_group
+from marlstone.operators.joins import asof_join, dealt_join, not_in, range_join, skew_join, top_per_group
 
 
 def found(df):
@@ -50,6 +50,17 @@ def test_salted_join_equals_plain(spark):
         skew_join(large, small, ["k"], "full")
 
 
+def test_dealt_join_spreads_the_pairs_of_a_key(spark):
+    """One key of 300 rows by 200, one of 1 by 500, nulls and copies, in tiles of at most 64 pairs."""
+    left = spark.createDataFrame([(1, n % 250) for n in range(300)] + [(2, 0), (3, 0), (None, 0)], "k int, a int")
+    right = spark.createDataFrame([(1, n) for n in range(200)] + [(2, n % 400) for n in range(500)] + [(None, 1), (4, 1)], "k int, b int")
+    got = dealt_join(left, right, ["k"], 64)
+    assert got.columns == ["k", "a", "b"] and found(got) == found(left.join(right, "k"))
+    spread = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) > 60 and max(r["count"] for r in spread) < 60_500 / 8
+    assert found(dealt_join(left, right.limit(0), ["k"], 64)) == []
+
+
 def test_salted_join_repeats_rows_of_hot_keys_only(spark):
     large = spark.createDataFrame([(1, 7)] * 40 + [(1, i) for i in range(20)] + [(2, 0), (3, 0)] + [(None, i) for i in range(30)], "k int, v int")
     small = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "n")], "k int, w string")
