@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.operators.running import HOT_ROWS, Running, running
+from marlstone.operators.running import HOT_ROWS, Running, _piece, running
 from marlstone.sources.shared import staged
 
 #: Pairs of rows that one tile of a dealt join compares at most, and tiles' worth of pairs in a task.
@@ -155,6 +155,32 @@ def dealt_join(left: DataFrame, right: DataFrame, on: list[str], tile_pairs: int
     return lefts.hint("merge").join(rights, [*on, "_tile"]).drop("_tile")
 
 
+def greater_join(left: DataFrame, right: DataFrame, by: list[str], left_value: str, right_value: str, cuts: int = 63) -> DataFrame:
+    """Pairs of equal ``by`` in which ``left_value`` is greater than ``right_value``.
+
+    Quantiles of both sides' values cut them into ``cuts`` + 1 stretches, and these are put together
+    by twos, fours and so on. All right rows of lower stretches than a left row's pair with it; they are
+    the whole of one block for each binary digit of its stretch. Only rows of one stretch are
+    compared in vain, one in ``cuts`` + 1 of all pairs of evenly spread values. Nulls pair with
+    nothing. Columns of the two sides must differ, but for ``by``.
+    """
+    left, right = left.filter(F.col(left_value).isNotNull()), right.filter(F.col(right_value).isNotNull())
+    values = left.select(F.col(left_value).alias("v")).unionByName(right.select(F.col(right_value).alias("v")))
+    found = values.agg(F.percentile_approx("v", [n / (cuts + 1) for n in range(1, cuts + 1)], 20 * cuts)).first()[0]
+    at, digits = sorted(set(found or [])), cuts.bit_length()
+    cells = "filter(transform(sequence(0, {0}), k -> struct(k AS _level, CAST({1} AS int) AS _block)), c -> {2})"
+    lower = cells.format(digits - 1, "shiftright(_at, k) - 1", "shiftright(_at, c._level) % 2 = 1")
+    held = cells.format(digits - 1, "shiftright(_at, k)", "c._block % 2 = 0")
+    same = "array(struct(-1 AS _level, CAST(_at AS int) AS _block))"
+
+    def placed(df: DataFrame, value: str, blocks: str) -> DataFrame:
+        cut = df.withColumn("_at", _piece(F.col(value), at).cast("int"))
+        return cut.withColumn("_cell", F.explode(F.expr(f"concat({same}, {blocks})"))).select(*df.columns, "_cell._level", "_cell._block")
+
+    pairs = dealt_join(placed(left, left_value, lower), placed(right, right_value, held), [*by, "_level", "_block"])
+    return pairs.filter(F.col(left_value) > F.col(right_value)).drop("_level", "_block")
+
+
 def skew_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = 16, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join in which a hot key of ``large`` is dealt to up to ``salts`` tasks, and rows of ``small`` of that key are repeated for each.
 

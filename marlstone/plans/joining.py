@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators.joins import asof_join, not_in, overlap_join, range_join, skew_join, top_per_group
+from marlstone.operators.joins import asof_join, greater_join, not_in, overlap_join, range_join, skew_join, top_per_group
 from marlstone.plans.registry import query
 from marlstone.sources.tables import load, over_tables
 
@@ -78,8 +78,9 @@ SELECT s.s_suppkey, c.c_custkey FROM supplier s JOIN customer c
 ON s.s_nationkey = c.c_nationkey AND c.c_acctbal > s.s_acctbal + 9000
 """)
 def join_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    on = (F.col("s_nationkey") == F.col("c_nationkey")) & (F.col("c_acctbal") > F.col("s_acctbal") + 9000)
-    return load(spark, sf_dir, "supplier").join(load(spark, sf_dir, "customer"), on).select("s_suppkey", "c_custkey")
+    customers = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
+    suppliers = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", (F.col("s_acctbal") + 9000).alias("above"))
+    return greater_join(customers, suppliers, ["nation"], "c_acctbal", "above").select("s_suppkey", "c_custkey")
 
 
 @query("""

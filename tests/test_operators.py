@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions.columns import half_up, ratio
-from marlstone.operators.joins import asof_join, dealt_join, not_in, range_join, skew_join, top_per_group
+from marlstone.operators.joins import asof_join, dealt_join, greater_join, not_in, range_join, skew_join, top_per_group
 
 
 def found(df):
@@ -61,6 +61,20 @@ def test_dealt_join_spreads_the_pairs_of_a_key(spark):
     assert found(dealt_join(left, right.limit(0), ["k"], 64)) == []
 
 
+def test_greater_join_equals_nested_loop(spark, monkeypatch):
+    monkeypatch.setattr("marlstone.operators.joins.dealt_join", lambda left, right, on: dealt_join(left, right, on, 64))
+    nan, far = float("nan"), float("inf")
+    left = spark.createDataFrame([(n % 3, n, float(n * 37 % 101)) for n in range(200)] + [(0, 900, None), (1, 901, nan), (1, 902, far), (None, 903, 5.0)], "k int, a int, x double")
+    right = spark.createDataFrame([(n % 4, n, float(n * 53 % 97) + n % 2 / 2) for n in range(150)] + [(0, 950, None), (1, 951, nan), (1, 952, -far)], "k int, b int, y double")
+    for cuts in (1, 7, 63):
+        want = left.join(right, "k").filter("x > y").select("k", "a", "x", "b", "y")
+        assert str(found(greater_join(left, right, ["k"], "x", "y", cuts))) == str(found(want))
+    assert found(greater_join(left, right.limit(0), ["k"], "x", "y")) == []
+    # copies of few values, and nothing in vain but within a stretch
+    same = spark.createDataFrame([(0, n, 1.0) for n in range(50)], "k int, a int, x double")
+    assert greater_join(same, right, ["k"], "x", "y").count() == same.join(right, "k").filter("x > y").count()
+
+
 def test_salted_join_repeats_rows_of_hot_keys_only(spark):
     large = spark.createDataFrame([(1, 7)] * 40 + [(1, i) for i in range(20)] + [(2, 0), (3, 0)] + [(None, i) for i in range(30)], "k int, v int")
     small = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "n")], "k int, w string")
