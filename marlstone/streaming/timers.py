@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,44 +23,64 @@ def merged_spans(spans: list[tuple[int, int, int]], gap: int) -> list[tuple[int,
     return out
 
 
+def spans_of(times: np.ndarray, gap: int) -> list[tuple[int, int, int]]:
+    """Spans (first, last, n) of ``times`` in any order, cut where two are at least ``gap`` apart."""
+    if not len(times):
+        return []
+    times = np.sort(times)
+    starts = np.flatnonzero(np.diff(times, prepend=times[0] - gap) >= gap)
+    ends = np.append(starts[1:], len(times))
+    return list(zip(times[starts].tolist(), times[ends - 1].tolist(), (ends - starts).tolist(), strict=True))
+
+
 class _Sessions(StatefulProcessor):
-    """Open sessions of a key as a list; each has a timer at its end plus the gap, which reports and forgets it."""
+    """Open sessions of a key as one value of three arrays, and one timer at the first end plus the gap.
+
+    When it expires, all sessions that the watermark has passed are reported and forgotten at once, and
+    the timer is set for the first of the others; so the state is read once a batch, not once a session.
+    """
 
     def __init__(self, key: str, gap_ms: int):
         self.key, self.gap = key, gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "first long, last long, n long")
+        self.open = handle.getValueState("open", "first array<long>, last array<long>, n array<long>")
 
     def _spans(self) -> list[tuple[int, int, int]]:
-        return [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        held = self.open.get()
+        return list(zip(*held, strict=True)) if held else []
+
+    def _keep(self, spans: list[tuple[int, int, int]]) -> None:
+        self.open.update(tuple(map(list, zip(*spans, strict=True))))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         spans = self._spans()
         for frame in rows:
             # a frame is merged at once, so that what is held are sessions and not events
-            spans = merged_spans(spans + [(t, t, 1) for t in frame["at_us"].dropna().astype("int64")], self.gap * 1000)
-        timers = {self._due(s) for s in spans}
+            times = frame["at_us"].dropna().to_numpy(dtype="int64")
+            spans = merged_spans(spans + spans_of(times, self.gap * 1000), self.gap * 1000)
+        first = min(map(self._due, spans), default=None)
         for old in list(self.handle.listTimers()):
-            if old not in timers:
+            if old != first:
                 self.handle.deleteTimer(old)
-        for due in timers:
-            self.handle.registerTimer(due)
         if spans:
-            self.open.put(spans)
+            self.handle.registerTimer(first)
+            self._keep(spans)
         yield from ()
 
     def _due(self, span: tuple[int, int, int]) -> int:
         return -(-span[1] // 1000) + self.gap
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
+        # a timer expires when the watermark is beyond it
+        due = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
         spans = self._spans()
         done = [s for s in spans if self._due(s) <= due]
         left = [s for s in spans if self._due(s) > due]
         if left:
-            self.open.put(left)
+            self.handle.registerTimer(min(map(self._due, left)))
+            self._keep(left)
         else:
             self.open.clear()
         if done:

@@ -4,6 +4,8 @@ import glob
 import os
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +122,33 @@ def test_sessions_stay_as_they_are(spark, small):
         spark.catalog.dropTempView("customer")
     assert QUERIES["udf_table"](spark, small).count() > 0
     assert "nation" not in {t.name for t in spark.catalog.listTables() if t.isTemporary}
+
+
+def test_spans_of_times_are_those_of_rows():
+    from marlstone.streaming.timers import spans_of
+
+    times = [20, 0, 4, 9, 9, 30, 34]
+    assert spans_of(np.array(times), 5) == merged_spans([(t, t, 1) for t in times], 5) == [(0, 4, 2), (9, 9, 2), (20, 20, 1), (30, 34, 2)]
+    assert spans_of(np.array([], dtype="int64"), 5) == []
+
+
+def test_a_key_has_one_timer():
+    """All sessions that the watermark has passed go at once; the timer is set for the first of the others."""
+    from types import SimpleNamespace
+
+    from marlstone.streaming.timers import _Sessions
+
+    timers, kept = set(), []
+    sessions = _Sessions("k", 5)
+    sessions.handle = SimpleNamespace(listTimers=lambda: list(timers), registerTimer=timers.add, deleteTimer=timers.discard)
+    sessions.open = SimpleNamespace(get=lambda: kept[-1] if kept else None, update=kept.append, clear=kept.clear)
+    for times in ([40_000, 0, 1000, 20_000], [2000, 60_000]):
+        assert list(sessions.handleInputRows(("a",), iter([pd.DataFrame({"at_us": times})]), None)) == [] and len(timers) == 1
+    assert timers == {7}
+    # 25 ms: the session that ends at 20 is due at 25, which the watermark has reached and not passed
+    for mark, firsts, left in ((25, [0], {25}), (46, [20_000, 40_000], {65}), (66, [60_000], set())):
+        due = timers.pop()
+        at = SimpleNamespace(getCurrentWatermarkInMs=lambda mark=mark: mark)
+        (out,) = sessions.handleExpiredTimer(("a",), at, SimpleNamespace(getExpiryTimeInMs=lambda due=due: due))
+        assert out["first_us"].tolist() == firsts and timers == left
+    assert not kept
