@@ -152,3 +152,12 @@ def test_a_key_has_one_timer():
         (out,) = sessions.handleExpiredTimer(("a",), at, SimpleNamespace(getExpiryTimeInMs=lambda due=due: due))
         assert out["first_us"].tolist() == firsts and timers == left
     assert not kept
+
+
+def test_xml_files_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """Spark reads an XML file whole in one task."""
+    from marlstone.sources import tables
+
+    monkeypatch.setattr(tables, "ROWS_A_FILE", {"xml": 10})
+    read = tables.written(spark.range(35).coalesce(1), "xml")
+    assert len(read.inputFiles()) == 4 and sorted(r.id for r in read.collect()) == list(range(35))
