@@ -122,3 +122,19 @@ def test_words_met_again_are_encoded_once(monkeypatch):
     assert got.count("same") == got.count("again") == got.count("the") == 1
     words.encode(texts[:1])
     assert len(words._ids) + len(words._before) < 1000 and words.forget() is None and not words._before
+
+
+def test_words_in_any_case_and_with_marks_are_encoded_once(monkeypatch):
+    """Also in a text that is not of ASCII alone, where the words' case was part of what had been seen."""
+    words, done = WordEncoder(default_vocabulary(), False), []
+    monkeypatch.setattr(words, "_encode_words", lambda new: done.extend(new) or WordEncoder._encode_words(words, new))
+    texts = ["same Same, SAME!! Same%%% été Été. ÉTÉ", "Same) same", "SAME... été?!"]
+    assert [x + b"\x01\0\0\0" for x in words.encode(texts)] == [x.tobytes() for x in plain_ids(texts)]
+    assert done.count("same") == done.count("été") == 1 and not {"Same", "SAME", "Été"} & set(done)
+
+
+def test_every_old_latin_letter_and_mark_gets_the_ids_of_the_plain_call():
+    marks = ["", ".", "'", "!?", "...", "%%%%", "|>", "'s", "̇", "̱."]
+    texts = [f"{c}{m} H{c}{m} {c}'S{m} 1{c}É{m} É" for c in map(chr, range(0x260)) for m in marks]
+    got = [x + b"\x01\0\0\0" for x in WordEncoder(default_vocabulary(), False).encode(texts)]
+    assert got == [x.tobytes() for x in plain_ids(texts)]
